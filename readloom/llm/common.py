@@ -18,6 +18,7 @@ BATCH_BYTES = 16 << 20
 
 _local_roots: dict[str, str] = {}
 _made: dict[str, SparkSession] = {}
+_titles: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +64,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stored``, but bucketed by ``key``: a join on it exchanges the other side only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    title = "readloom_" + path.rsplit("-", 1)[1]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(parts, key).format("parquet").option("path", path).saveAsTable(title)
+    _titles[path] = title
+    return spark.table(title)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the scratch tables of this session; results that read them are gone then."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in [p for p, s in _made.items() if s is spark]:
         _made.pop(path)
+        if path in _titles:
+            spark.sql(f"DROP TABLE IF EXISTS {_titles.pop(path)}")
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
 

@@ -5,7 +5,9 @@ distinct n-grams (64-bit hashes, with their counts: combined before the shuffle)
 partitions of the count tables, by hash; every partition sums them up to its count table
 and joins that to the n-grams it was sent; the counts go back to the segments, where the
 scores are summed for each document. Lists of n-grams travel as packed blocks: sorted,
-as differences, byte by byte, so that they compress.
+as differences, byte by byte, so that they compress. Single words and pairs go first; a
+longer n-gram is only sent where both n-grams it is made of occur in other documents,
+since it cannot be found elsewhere otherwise. Segments are bucketed and never move.
 
 A document is scored by the counts of all others: its own occurrences are taken off,
 else every n-gram would be found and nothing would back off. Exact copies of a document
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import bounded_batches, stored
+from readloom.llm.common import bounded_batches, stored, stored_by
 from readloom.llm.words import IDENTITY, NOT_SPACE, mix, split
 
 ORDER, BACKOFF = 3, 0.4
@@ -34,18 +36,35 @@ ORDER, BACKOFF = 3, 0.4
 SEGMENT_WORDS, BUCKET_BYTES = 1_000_000, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-SEGMENT = T.StructType([T.StructField("segment", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), *(T.StructField(c, T.BinaryType()) for c in ("bounds", "hashes", "words"))])
-BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-ANSWER = T.StructType([T.StructField("segment", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("totals", T.BinaryType())])
+SEGMENT = T.StructType([T.StructField("segment", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), *(T.StructField(c, T.BinaryType()) for c in ("bounds", "hashes", "words")), T.StructField("n_words", T.LongType())])
+BLOCK = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+ANSWER = T.StructType([T.StructField("segment", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("totals", T.BinaryType())])
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Byte planes: the high bytes of small values are runs of zeros."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Compressed byte planes: the high bytes of small values are runs of zeros."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    size = 8 * int.from_bytes(data[:8], "little")
+    planes = pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def runs(values: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct values in order, how often each comes, and the number of the distinct value at each place."""
+    perm = np.argsort(values) if inverse else None
+    ordered = values[perm] if inverse else np.sort(values)
+    first = np.ones(len(values), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    at = np.flatnonzero(first)
+    which = None
+    if inverse:
+        which = np.empty(len(values), np.int64)
+        which[perm] = np.cumsum(first) - 1
+    return ordered[at], np.diff(at, append=len(values)), which
 
 
 def n_grams(words: np.ndarray, rows: np.ndarray, order: int) -> list[np.ndarray]:
@@ -71,8 +90,12 @@ def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
         def out() -> pa.RecordBatch:
             ids = [i for x, _, _, _ in held for i in x]
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([b for _, b, _, _ in held]))]).astype("<u8")
-            hashes, words = np.unique(np.concatenate([h[c] for _, _, h, c in held]), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack(bounds), hashes.tobytes(), words.astype("<u4").tobytes()))], SEGMENT.names)
+            hashes, often, words = runs(np.concatenate([h[c] for _, _, h, c in held]), inverse=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            hashes, words = hashes[order], place[words]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack(bounds), hashes.tobytes(), pack(words))), pa.array([len(words)], pa.int64())], SEGMENT.names)
 
         for batch in batches:
             w = split(batch.column(text), NOT_SPACE, IDENTITY)
@@ -86,40 +109,72 @@ def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
         if held:
             yield out()
 
-    return stored(docs.select(doc_id, text).mapInArrow(run, SEGMENT), "segments")
+    return stored_by(docs.select(doc_id, text).mapInArrow(run, SEGMENT), "segments", "segment")
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bounds of the documents, word hashes, document of each word."""
     bounds = unpack(row["bounds"]).astype(np.int64)
-    words = np.frombuffer(row["hashes"], np.uint64)[np.frombuffer(row["words"], "<u4")]
+    words = np.frombuffer(row["hashes"], np.uint64)[unpack(row["words"]).astype(np.int64)]
     return bounds, words, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def _distinct(words: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    grams = n_grams(words, rows, order)
-    keys, counts = np.unique(np.concatenate(grams), return_counts=True)
-    some = keys > 0
-    return keys[some], counts[some], grams
-
-
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Ascending with the key, so that a sorted list falls into runs."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _blocks(order: int, buckets: int):
+def rounds(order: int) -> list[list[int]]:
+    """The lengths that are counted together."""
+    return [list(range(1, min(order, 2) + 1)), *([n] for n in range(3, order + 1))]
+
+
+def look_up(row: dict, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Bounds of the documents; by length, for the word where an n-gram begins, its hash (0: not to be
+    counted) and its count in other documents, as far as the row's answers go."""
+    bounds, words, rows = _read(row)
+    answered = {}
+    for a in sorted(row["answers"], key=lambda a: (a["round"], a["bucket"])):
+        answered.setdefault(a["round"], []).append(unpack(a["totals"]))
+    seeds = mix(rows.astype(np.uint64) + np.uint64(1 << 40))
+    grams, others = n_grams(words, rows, order), []
+    for number, lengths in enumerate(rounds(order)):
+        for n in lengths:
+            if n > 2:
+                both = np.zeros(len(words), bool)
+                both[:-1] = (others[n - 2][:-1] > 0) & (others[n - 2][1:] > 0)
+                grams[n - 1] = np.where(both, grams[n - 1], np.uint64(0))
+        if number not in answered:
+            break
+        every = np.concatenate([grams[n - 1] for n in lengths])
+        some = np.flatnonzero(every)
+        keys, _, which = runs(every[some], inverse=True)
+        totals = np.concatenate(answered[number]).astype(np.int64)
+        assert len(totals) == len(keys)
+        # What the document itself has of an n-gram comes off; one that comes once in all needs no look.
+        here, other = totals[which], np.zeros(len(every), np.int64)
+        again = np.flatnonzero(here > 1)
+        _, own, place = runs(every[some[again]] ^ seeds[some[again] % max(1, len(words))], inverse=True)
+        other[some[again]] = here[again] - own[place]
+        others += list(other.reshape(len(lengths), -1))
+    return bounds, grams, others
+
+
+def _blocks(order: int, buckets: int, number: int):
+    """The n-grams of one round, a row for each segment and partition of the count tables."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, words, rows = _read(row)
-                keys, counts, _ = _distinct(words, rows, order)
+                _, grams, _ = look_up(row, order)
+                every = np.concatenate([grams[n - 1] for n in rounds(order)[number]])
+                keys, counts, _ = runs(every[every > 0])
                 own, first = np.unique(_bucket(keys, buckets), return_index=True)
                 ends = [*first[1:].tolist(), len(keys)]
                 for i in range(0, len(own), 64):
                     part = list(zip(own[i : i + 64].tolist(), first[i : i + 64].tolist(), ends[i : i + 64], strict=True))
-                    grams = [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in part]
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in part], pa.int32()), pa.array([row["segment"]] * len(part), pa.int64()), pa.array(grams, pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in part], pa.binary())], BLOCK.names)
+                    steps = [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int32()), pa.array([b for b, _, _ in part], pa.int32()), pa.array([row["segment"]] * len(part), pa.int64()), pa.array(steps, pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in part], pa.binary())], BLOCK.names)
 
     return run
 
@@ -128,33 +183,25 @@ def count_and_join(table: pa.Table) -> pa.Table:
     """One partition of the count tables: sums each n-gram and gives every sender its n-grams' totals."""
     rows = table.to_pylist()
     keys = [np.cumsum(unpack(r["grams"]), dtype=np.uint64) for r in rows]
-    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    _, _, which = runs(np.concatenate(keys), inverse=True)
     totals = np.bincount(which, weights=np.concatenate([unpack(r["counts"]) for r in rows])).astype(np.uint64)
     ends = np.cumsum([len(k) for k in keys])
     answers = [pack(totals[which[e - len(k) : e]]) for e, k in zip(ends, keys, strict=True)]
-    return pa.table([pa.array([r["segment"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(answers, pa.binary())], ANSWER.names)
+    return pa.table([pa.array([r["segment"] for r in rows], pa.int64()), pa.array([r["round"] for r in rows], pa.int32()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(answers, pa.binary())], ANSWER.names)
 
 
 def score_segment(row: dict, order: int, total_words: int, backoff: float) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Ids, words, summed log scores, and words found at each length ((documents, order))."""
-    bounds, words, rows = _read(row)
-    keys, _, grams = _distinct(words, rows, order)
-    answers = sorted(row["answers"], key=lambda a: a["bucket"])
-    totals = np.concatenate([unpack(a["totals"]) for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
-    seeds = mix(rows.astype(np.uint64) + np.uint64(1 << 40))
-    others = []
-    for g in grams:  # counts in other documents, at the word where the n-gram begins
-        some = np.flatnonzero(g)
-        _, which, own = np.unique(g[some] ^ seeds[some], return_inverse=True, return_counts=True)
-        c = np.zeros(len(words), np.int64)
-        c[some] = totals[np.searchsorted(keys, g[some])] - own[which]
-        others.append(c)
+    bounds, _, others = look_up(row, order)
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    # A round without answers sent nothing: its n-grams are in no other document.
+    others += [np.zeros(len(rows), np.int64)] * (order - len(others))
     sizes = np.diff(bounds)
     rest = (total_words - sizes)[rows].astype(np.float64)
-    place = np.arange(len(words)) - bounds[:-1][rows]
-    score, open_ = np.zeros(len(words)), np.ones(len(words), bool)
+    place = np.arange(len(rows)) - bounds[:-1][rows]
+    score, open_ = np.zeros(len(rows)), np.ones(len(rows), bool)
     found = np.zeros((len(sizes), order), np.int64)
-    penalty = np.zeros(len(words))
+    penalty = np.zeros(len(rows))
     for n in range(order, 0, -1):
         ending = np.flatnonzero(open_ & (place >= n - 1))
         have = others[n - 1][ending - n + 1]
@@ -172,14 +219,17 @@ def score_segment(row: dict, order: int, total_words: int, backoff: float) -> tu
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, log_score (sum), mean_log_score, and found_n: words found by an n-gram of that length."""
     cut = segments(docs, doc_id, text, segment_words)
-    # Hashes and words are 4 bytes a word: the size of the corpus without reading the texts again.
-    words = cut.agg(F.sum(F.expr("octet_length(words) div 4"))).first()[0] or 0
+    words = cut.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, min(1 << 20, -(-words * 6 // bucket_bytes)))
-    bounded_batches(docs.sparkSession, 4)
-    blocks = cut.mapInArrow(_blocks(order, buckets), BLOCK)
-    answers = blocks.groupBy("bucket").applyInArrow(count_and_join, ANSWER)
-    gathered = answers.groupBy("segment").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
-    joined = cut.join(gathered, "segment", "left").select(*SEGMENT.names, F.coalesce("answers", F.array().cast(gathered.schema["answers"].dataType)).alias("answers"))
+    bounded_batches(docs.sparkSession, 1)  # a row is a segment
+    listed = T.ArrayType(T.StructType(ANSWER.fields[1:]))
+    known, joined = None, cut.withColumn("answers", F.array().cast(listed))
+    for number in range(len(rounds(order))):
+        blocks = joined.mapInArrow(_blocks(order, buckets, number), BLOCK)
+        answers = stored(blocks.groupBy("round", "bucket").applyInArrow(count_and_join, ANSWER), "counts")
+        known = answers if known is None else known.unionByName(answers)
+        gathered = known.groupBy("segment").agg(F.collect_list(F.struct(*ANSWER.names[1:])).alias("answers"))
+        joined = cut.join(gathered, "segment", "left").select(*SEGMENT.names, F.coalesce("answers", F.array().cast(listed)).alias("answers"))
     shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), *(T.StructField(f"found_{n}", T.LongType()) for n in range(1, order + 1))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
