@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,17 @@ def load_vocabulary(path: str, pattern: str) -> tuple[bytes, str]:
         return f.read(), pattern
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``keep`` columns of ``docs`` plus ``token_ids`` binary (little-endian unsigned 32-bit), a row for each row."""
+@dataclass
+class Derive:
+    """Columns made from the ids of a batch in the worker that has just encoded it: one Python process a task, not two."""
+
+    fields: list[T.StructField]
+    make: Callable[[Codec, list[bytes]], list[pa.Array]]
+    with_ids: bool = True
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, derive: Derive | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` plus ``token_ids`` binary (little-endian unsigned 32-bit), a row for each row; and what ``derive`` adds."""
     assert MARGIN < overlap <= chunk
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -89,7 +99,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("body"))
     long = F.coalesce(F.length("body"), F.lit(0)) > chunk + overlap
 
-    short = rows.where(~long).mapInArrow(_encoder(shared), T.StructType([*fields, T.StructField("ids", T.BinaryType())]))
+    derive = derive or Derive([], lambda use, ids: [])
+    made = T.StructType([*fields, *([T.StructField("ids", T.BinaryType())] if derive.with_ids else []), *derive.fields])
+    short = rows.where(~long).mapInArrow(_encoder(shared, derive), made)
 
     at = [T.StructField("row", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("last", T.BooleanType())]
     cut = T.StructType([*fields, T.StructField("body", T.StringType()), *at])
@@ -118,8 +130,9 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
     )
     encoded = pieces.select("row", "part", *(f.name for f in fields), "body").mapInArrow(_encoder(shared), T.StructType([*at[:2], *fields, T.StructField("ids", T.BinaryType())]))
     joined = encoded.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"]).alias("parts"), *(F.first(f.name).alias(f.name) for f in fields))
-    joined = joined.select(*(f.name for f in fields), "parts").mapInArrow(_joiner, T.StructType([*fields, T.StructField("ids", T.BinaryType())]))
-    return short.unionByName(joined).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("ids").alias("token_ids"))
+    joined = joined.select(*(f.name for f in fields), "parts").mapInArrow(_joiner(shared, derive), made)
+    names = {"ids": "token_ids"} | {f"k{i}": c for i, c in enumerate(keep)}
+    return short.unionByName(joined).select(*(F.col(f.name).alias(names.get(f.name, f.name)) for f in made))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -137,13 +150,21 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids",
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
-def _encoder(shared: Broadcast):
+def _finish(batch: pa.RecordBatch, without: str, ids: list[bytes], use: Codec, derive: Derive | None) -> pa.RecordBatch:
+    names = [n for n in batch.schema.names if n != without]
+    columns = [batch.column(n) for n in names]
+    if derive is None or derive.with_ids:
+        names, columns = [*names, "ids"], [*columns, pa.array(ids, pa.binary())]
+    if derive is not None:
+        names, columns = [*names, *(f.name for f in derive.fields)], [*columns, *derive.make(use, ids)]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _encoder(shared: Broadcast, derive: Derive | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(shared)
         for batch in batches:
-            ids = pa.array([use.encode(x or "") for x in batch.column("body").to_pylist()], pa.binary())
-            names = [n for n in batch.schema.names if n != "body"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "ids"])
+            yield _finish(batch, "body", [use.encode(x or "") for x in batch.column("body").to_pylist()], use, derive)
 
     return run
 
@@ -179,8 +200,10 @@ def _pre_tokeniser(shared: Broadcast, chunk: int, overlap: int):
     return run
 
 
-def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = [n for n in batch.schema.names if n != "parts"]
-        ids = pa.array([b"".join(x) for x in batch.column("parts").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "ids"])
+def _joiner(shared: Broadcast, derive: Derive):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = codec(shared)
+        for batch in batches:
+            yield _finish(batch, "parts", [b"".join(x) for x in batch.column("parts").to_pylist()], use, derive)
+
+    return run

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -52,29 +52,19 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def token_digests(encoded: DataFrame, path: str, pattern: str, keep: list[str], with_ids: bool = False) -> DataFrame:
-    """Decodes ``token_ids`` and adds the number of tokens and the digests of ids and decoded bytes."""
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(bpe.load_vocabulary(path, pattern))
-    kept = [*keep, *(["token_ids"] if with_ids else [])]
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+def token_digests(with_ids: bool = False) -> bpe.Derive:
+    """The number of tokens and the digests of the ids and of the bytes that they decode to."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = bpe.codec(shared)
-        for batch in batches:
-            ids = [x or b"" for x in batch.column("token_ids").to_pylist()]
-            sha = lambda data: hashlib.sha256(data).hexdigest()
-            new = [pa.array(np.array([len(x) // 4 for x in ids], np.int64)), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(use.decode(x)) for x in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *(f.name for f in added)])
+    def make(use: bpe.Codec, ids: list[bytes]) -> list[pa.Array]:
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        return [pa.array(np.array([len(x) // 4 for x in ids], np.int64)), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(use.decode(x)) for x in ids], pa.string())]
 
-    return encoded.mapInArrow(run, T.StructType([*(encoded.schema[c] for c in kept), *added]))
+    return bpe.Derive([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())], make, with_ids)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    path, pattern = vocabulary()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"])
-    return token_digests(encoded, path, pattern, ["doc_id"])
+    return bpe.encode(table(spark, sf_dir, "documents"), *vocabulary(), keep=["doc_id"], derive=token_digests())
 
 
 def held_out(doc_id: str = "doc_id"):
