@@ -173,68 +173,6 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int =
     return pickle.loads(fitted["model"]) if fitted else fit(np.zeros((0, BUCKETS + _MEASURES * STEPS), np.float32), np.zeros(0))
 
 
-def score(self, x: np.ndarray, block: int = 256) -> np.ndarray:
-        out = np.full(len(x), 0.5)
-        if not len(self.labels):
-            return out
-        k = min(NEIGHBOURS, len(self.labels))
-        unit = self.project(x)
-        for i in range(0, len(x), block):
-            similar = unit[i : i + block] @ self.vectors.T
-            near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-            weights = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** SHARPNESS
-            total = weights.sum(axis=1)
-            out[i : i + block] = np.where(total > 0, (weights * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), 0.5)
-        return np.clip(out, 0, 1)
-
-
-def _weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Words and style are brought to fixed lengths, so that long texts do not drown the style terms."""
-    words = x[:, :BUCKETS] * idf
-    words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-9)
-    style = x[:, BUCKETS:] * (STYLE_WEIGHT / np.sqrt(_MEASURES))
-    return np.concatenate([words, style], axis=1).astype(np.float32)
-
-
-def fit(x: np.ndarray, labels: np.ndarray) -> Model:
-    if not len(labels):
-        terms = BUCKETS + _MEASURES * STEPS
-        return Model(np.ones(BUCKETS, np.float32), np.zeros((terms, 1), np.float32), np.zeros((0, 1), np.float32), labels)
-    idf = np.log((1 + len(x)) / (1 + (x[:, :BUCKETS] > 0).sum(axis=0))).astype(np.float32) + 1
-    weighed = _weigh(x, idf)
-    values, vectors = np.linalg.eigh((weighed @ weighed.T).astype(np.float64))  # left singular vectors, smallest first
-    top = np.argsort(-values)[: min(LATENT, len(x))]
-    top = top[values[top] > 1e-9]
-    directions = (weighed.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
-    model = Model(idf, directions, np.zeros((0, len(top)), np.float32), labels.astype(np.float64))
-    model.vectors = model.project(x)
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fits on at most ``per_class`` labelled rows of each label, chosen by a hash of the id, among ids that are ``allowed``."""
-    bounded_batches(docs.sparkSession, 128)
-    marked = labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull() & allowed).groupBy(doc_id).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    chosen = None
-    for label in (0, 1):
-        own = marked.where(F.col("quality") == label).orderBy(F.xxhash64(F.col(doc_id)), doc_id).limit(per_class)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    # At most 2 * per_class ids: the bound that makes the broadcast safe.
-    picked = docs.select(doc_id, text).join(F.broadcast(chosen.select(F.col(doc_id), F.col("quality").alias("_label"))), doc_id)
-    shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("terms", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = pa.array([r.astype(np.float16).tobytes() for r in features(batch.column(text))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id).cast(pa.int64()), batch.column("_label").cast(pa.int32()), terms], shape.names)
-
-    # Repeated ids could exceed the bound: one text of each id counts.
-    rows = {r["id"]: r for r in picked.select(doc_id, text, "_label").mapInArrow(run, shape).dropDuplicates(["id"]).toLocalIterator()}
-    rows = [rows[k] for k in sorted(rows)]
-    x = np.array([np.frombuffer(r["terms"], np.float16) for r in rows], np.float32).reshape(len(rows), BUCKETS + _MEASURES * STEPS)
-    return fit(x, np.array([r["label"] for r in rows], np.float64))
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:
     """``keep`` columns of ``docs`` and the score: 0 to 1, higher means label 1 is likelier."""
     spark = docs.sparkSession
