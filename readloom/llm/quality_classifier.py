@@ -35,7 +35,7 @@ LATENT, NEIGHBOURS = 64, 15
 #: Similarity is raised to this power to be a vote's weight.
 SHARPNESS = 8
 #: Terms for how a text is written: measures in steps, so many terms each.
-STEPS, STYLE_WEIGHT = 8, 0.6
+STEPS, STYLE_WEIGHT = 8, 1.2
 _MEASURES = 7
 _SLICE = 1 << 21
 
