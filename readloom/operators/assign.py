@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.functions import iupac
-from readloom.operators.storage import ranked
+from readloom.operators.storage import ranked, stored
 from readloom.plans.design import Token
 from readloom.sources.lookup import Entry
 
@@ -93,8 +93,13 @@ def assign(df: DataFrame, token: Token, table: dict[str, Entry] | None = None, m
         named = ids(df.where(F.coalesce(F.col(column), F.lit("")) != "").select(F.col(column).alias("seq"), F.expr(f"rec div {CHUNK}").alias("chunk")))
         extra: list[str] = []
     else:
-        named = match(df.where(F.coalesce(F.col(column), F.lit("")) != "").select(F.col(column).alias("seq")).distinct(), table or {}, mismatches).drop("distance")
+        # Stored: each step of the lookup would otherwise scan the reads again.
+        seen = stored(df.where(F.coalesce(F.col(column), F.lit("")) != "").select(F.col(column).alias("seq")).distinct(), "sequences")
+        named = match(seen, table or {}, mismatches).drop("distance")
         extra = ["is_rc"]
+    # Only sequences with a name are here. Few of them are broadcast, so that the reads need no shuffle.
+    named = stored(named, "names")
+    named = _hinted(named, named.count())
     named = named.withColumnsRenamed({"seq": column, "assigned": f"{column}_id", "is_rc": f"{column}_rc"})
     joined = df.join(named, column, "left").withColumn(f"{column}_id", F.coalesce(f"{column}_id", F.lit(UNKNOWN)))
     return joined.select(*df.columns, f"{column}_id", *(f"{column}_rc" for _ in extra))

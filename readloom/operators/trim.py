@@ -45,16 +45,17 @@ def best_overlap(reads: list[str], adapter: str, most_diff: int = 2, require: in
     return out
 
 
-def overlap(sequence: Column, adapter: str, most_diff: int = 2, require: int = 15, fraction: float = 0.1) -> Column:
-    """A struct of offset, diff and length; null where the adapter is not found."""
+def with_overlap(df: DataFrame, sequence: str, adapter: str, to: str, most_diff: int = 2, require: int = 15, fraction: float = 0.1) -> DataFrame:
+    """Adds a struct of offset, diff and length; null where the adapter is not found."""
 
     @F.pandas_udf(OVERLAP)
     def run(reads: pd.Series) -> pd.DataFrame:
         found = best_overlap(reads.fillna("").tolist(), adapter, most_diff, require, fraction)
         return pd.DataFrame(np.where(found == _NONE, -_NONE, found), columns=["offset", "diff", "length"], dtype="int32")
 
-    found = run(sequence)
-    return F.when(found["offset"] != -_NONE, found)
+    # Else the optimizer copies the call into filters that it pushes down, and runs it twice.
+    df = df.withColumn("_raw", run.asNondeterministic()(F.col(sequence)))
+    return df.withColumn(to, F.when(F.col("_raw.offset") != -_NONE, F.col("_raw"))).drop("_raw")
 
 
 def keep_length(sequence: Column, found: Column) -> Column:
@@ -84,7 +85,7 @@ def trim_side(df: DataFrame, side: str, adapter: str, most_diff: int = 2, requir
     if not adapter:
         return df
     seq, qual = f"{side}_seq", f"{side}_qual"
-    df = df.withColumn("_found", overlap(F.col(seq), adapter, most_diff, require, fraction)).withColumn("_keep", keep_length(F.col(seq), F.col("_found")))
+    df = with_overlap(df, seq, adapter, "_found", most_diff, require, fraction).withColumn("_keep", keep_length(F.col(seq), F.col("_found")))
     df = df.withColumns({seq: F.substring(F.col(seq), F.lit(1), F.col("_keep")), qual: F.substring(F.col(qual), F.lit(1), F.col("_keep"))})
     s, q_ = quality_trim(F.col(seq), F.col(qual), threshold)
     df = df.withColumns({seq: s, qual: q_})

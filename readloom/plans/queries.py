@@ -208,7 +208,7 @@ def dedup_case_invalid(spark, sf_dir):
 
 
 def adapter_trim(spark, sf_dir):
-    found = reads(spark, sf_dir).withColumn("found", trim.overlap(F.col("seq"), ADAPTER)).where("found is not null")
+    found = trim.with_overlap(reads(spark, sf_dir), "seq", ADAPTER, "found").where("found is not null")
     return found.select("rec", F.col("found.offset").cast("long").alias("offset"), F.col("found.diff").cast("long").alias("diff"), F.col("found.length").cast("long").alias("length"), trim.keep_length(F.col("seq"), F.col("found")).cast("long").alias("keep"))
 
 
