@@ -112,6 +112,12 @@ def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
     return stored_by(docs.select(doc_id, text).mapInArrow(run, SEGMENT), "segments", "segment")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One at a time: a row is a segment."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bounds of the documents, word hashes, document of each word."""
     bounds = unpack(row["bounds"]).astype(np.int64)
@@ -165,7 +171,7 @@ def _blocks(order: int, buckets: int, number: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 _, grams, _ = look_up(row, order)
                 every = np.concatenate([grams[n - 1] for n in rounds(order)[number]])
                 keys, counts, _ = runs(every[every > 0])
@@ -221,7 +227,6 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
     cut = segments(docs, doc_id, text, segment_words)
     words = cut.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, min(1 << 20, -(-words * 6 // bucket_bytes)))
-    bounded_batches(docs.sparkSession, 1)  # a row is a segment
     listed = T.ArrayType(T.StructType(ANSWER.fields[1:]))
     known, joined = None, cut.withColumn("answers", F.array().cast(listed))
     for number in range(len(rounds(order))):
@@ -234,7 +239,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, sizes, sums, found = score_segment(row, order, words, backoff)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sums), pa.array(sums / np.maximum(sizes, 1)), *(pa.array(found[:, n]) for n in range(order))], shape.names)
 

@@ -28,7 +28,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose rarest window terms stand close together in a document, exact or not."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.where(F.size("near_items") > 0).select("doc_id", F.explode("near_items").alias("item_id"))
@@ -115,7 +115,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality_rules, op3_secrets, op4_bpe, op5_quality_classifier, op6_simhash, op7_language_model, op8_chat_rotation, op9_sharding, op10_warc, op1_proximity)
+    for f in (op1_decontaminate, op2_quality_rules, op3_secrets, op4_bpe, op5_quality_classifier, op6_simhash, op7_language_model, op8_chat_rotation, op9_sharding, op10_warc, proximity_matches)
 }
 
 _SPACE = r"\x20\x09-\x0D"

@@ -60,6 +60,8 @@ RECORD = T.StructType(
 
 def mark_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest and ``refers_to`` (null: a response)."""
+    # uid tells equal rows apart. Both uses below scan ``pages`` alike, so a row has the same uid in both:
+    # ``pages`` has to be a stored table (or a deterministic plan over one).
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("uid", F.monotonically_increasing_id())
     large = F.octet_length("payload") >= least
