@@ -55,7 +55,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*(f"{e} AS {n}" for n, e in READS.items()))
+    # One file of keys becomes as many parts as a run with many read files would have.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(parts)
+    return keys.selectExpr(*(f"{e} AS {n}" for n, e in READS.items()))
 
 
 def read1(spark: SparkSession, sf_dir: str) -> DataFrame:
