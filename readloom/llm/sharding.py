@@ -2,8 +2,8 @@
 
 Every local partition puts its rows in random order. How many of them go to each
 target block is drawn exactly: row p of the matrix is multivariate hypergeometric
-over the places still free, so each way to deal the rows is equally likely and
-every block gets precisely its size. After the exchange each block is put in random
+over the places still free (to the rounding of doubles), so each way to deal the rows is
+equally likely and every block gets precisely its size. After the exchange each block is put in random
 order again. Blocks are runs of slots of one shard, so that no task holds a shard:
 their number grows with the rows.
 
@@ -50,7 +50,6 @@ def draw_matrix(rows: np.ndarray, blocks: np.ndarray, seed: int) -> np.ndarray:
             if not left:
                 break
             rest = places - int(free[t])
-            # the generator takes arguments below 10^9; a larger draw is split in halves
             got = _hypergeometric(rng, int(free[t]), rest, left)
             out[p, t] = got
             left, places = left - got, rest
@@ -65,14 +64,18 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
         return n
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    # Beyond the generator's range: draw in steps, each of which is small against what is left.
-    got, step = 0, max(1, n // 64)
-    while n:
-        k = min(step, n)
-        x = int(rng.binomial(k, good / (good + bad)))
-        x = max(k - bad, min(x, good, k))
-        got, good, bad, n = got + x, good - x, bad - (k - x), n - k
-    return got
+    # Beyond the generator's range: the law is symmetric in ``good`` and ``n``, and its weights around the
+    # mode follow from their exact ratios. Outside 40 deviations they vanish in double precision.
+    total = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 64 + int(40 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    rise = np.cumsum(np.log((good - up) / (up + 1) * ((n - up) / (bad - n + up + 1))))
+    fall = np.cumsum(np.log(down / (good - down + 1) * ((bad - n + down) / (n - down + 1))))
+    weights = np.cumsum(np.exp(np.concatenate([fall[::-1], [0.0], rise])))
+    return mode - len(down) + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
 
 
 def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 9, block_rows: int = BLOCK_ROWS) -> DataFrame:

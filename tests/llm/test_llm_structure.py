@@ -51,7 +51,18 @@ def test_matrix_has_its_margins():
         assert m.sum(axis=1).tolist() == rows.tolist() and m.sum(axis=0).tolist() == blocks.tolist() and (m >= 0).all()
         seen.add(m.tobytes())
     assert len(seen) > 10
-    assert 0 <= sharding._hypergeometric(np.random.default_rng(1), 2 * 10**9, 10**9, 10**6) <= 10**6
+
+
+@pytest.mark.parametrize(("good", "bad", "n"), [(2 * 10**9, 10**9, 10**6), (30_000_000, 3 * 10**10, 1_800_000), (10**9, 5, 10**9), (3, 10**10, 7), (10**9, 10**9, 2 * 10**9 - 4)])
+def test_large_draws_have_the_laws_moments(good, bad, n):
+    """Mean and variance of the hypergeometric law; a binomial's variance would be off by the finite-population factor."""
+    rng = np.random.default_rng(1)
+    got = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(3000)], np.float64)
+    total = good + bad
+    assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+    variance = n * (good / total) * (bad / total) * (total - n) / (total - 1)
+    assert abs(got.mean() - n * good / total) <= 5 * (variance / len(got)) ** 0.5 + 1e-6
+    assert abs(got.var() - variance) <= 0.2 * variance + 0.02
 
 
 @pytest.mark.parametrize("block", [16_384, 7])
