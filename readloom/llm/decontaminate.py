@@ -1,8 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index is made of segments: each holds some documents in one row, their words
-numbered through in one position space, and for every term the sorted list of its
-positions. A document lies in one segment only, so a segment is searched by itself and
+numbered through in one position space, and for every term that the items use the sorted list of
+its positions. A document lies in one segment only, so a segment is searched by itself and
 a term that is everywhere is never gathered. The test items are a stated query set:
 their windows are broadcast, after a check of their size, to all segments; a larger set
 is searched in slices. Each window starts from its rarest term in the segment; lists are
