@@ -101,10 +101,10 @@ def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt uniformly into 16 shards whose row counts differ by one at most."""
     docs = table(spark, sf_dir, "documents")
+    dealt = sharding.shuffle_into_shards(docs, docs.columns)
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"))
-    dealt = sharding.shuffle_into_shards(rows, ["doc_id", "text_crc32", "size"])
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(body) + 1).cast("long"), F.crc32(body.cast("binary")).cast("long")
+    return dealt.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,12 @@ target block is drawn exactly: row p of the matrix is multivariate hypergeometri
 over the places still free (to the rounding of doubles), so each way to deal the rows is
 equally likely and every block gets precisely its size. After the exchange each block is put in random
 order again. Blocks are runs of slots of one shard, so that no task holds a shard:
-their number grows with the rows.
+their number grows with the rows and the bytes of their strings.
 
 Shard sizes differ by one row at most (law ``rows``). Random orders come from
 hashes of the seed and the row's keys; rows that agree in all keys are alike and may
-swap places. The locally ordered rows are written to the shared folder before the
-exchange, so a retried task meets the same order. Null keys hash like any value; an
+swap places. Rows are dealt whole. Local partitions are those of the input; their
+ordered rows are written to the shared folder before the only exchange, so a retried task meets the same order. Null keys hash like any value; an
 empty table gives an empty result. Groups of equal texts are not held together.
 """
 
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import stored
+from readloom.llm.common import bounded_batches, stored
 
 #: Rows in a block, and the largest matrix (partitions x blocks): 128 MB on the driver at the most.
 BLOCK_ROWS, MOST_CELLS = 16_384, 1 << 24
+#: Bytes of strings in a block, on average.
+BLOCK_BYTES = 64 << 20
 MOST_PARTITIONS = 1_024
 
 
@@ -81,17 +83,20 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
 def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 9, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     spark = df.sparkSession
-    parts = max(1, min(MOST_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    bounded_batches(spark)
     named = df.select(F.struct(*df.columns).alias("row"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
     hashed = named.select("row", *(F.xxhash64(F.lit(f"{seed}-{turn}"), *(f"k{i}" for i in range(len(keys)))).alias(turn) for turn in ("first", "second")))
     # monotonically_increasing_id: partition in the upper 31 bits, place in it in the lower 33
-    local = hashed.repartition(parts).sortWithinPartitions("first", "second").withColumn("at", F.monotonically_increasing_id())
+    local = hashed.coalesce(MOST_PARTITIONS).sortWithinPartitions("first", "second").withColumn("at", F.monotonically_increasing_id())
     local = stored(local.select("row", "second", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place")), "shards")
 
-    counted = {r["part"]: r["count"] for r in local.groupBy("part").count().collect()}  # one row a partition
+    long = [F.coalesce(F.octet_length(F.col("row")[f.name]).cast("long"), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    measured = local.groupBy("part").agg(F.count("*").alias("count"), F.sum(sum(long, F.lit(0))).alias("bytes")).collect()  # one row a partition
+    counted = {r["part"]: r["count"] for r in measured}
+    held = sum(r["bytes"] for r in measured)
     counts = np.array([counted.get(p, 0) for p in range(max(counted, default=-1) + 1)], np.int64)
     total = int(counts.sum())
-    per_shard = max(1, min(-(-total // (shards * block_rows)), MOST_CELLS // (shards * max(1, len(counts)))))
+    per_shard = max(1, min(max(-(-total // (shards * block_rows)), -(-held // (shards * BLOCK_BYTES))), MOST_CELLS // (shards * max(1, len(counts)))))
     blocks = block_sizes(total, shards, per_shard)
     offsets = np.concatenate([[0], np.cumsum(blocks)[:-1]]).reshape(shards, per_shard)
     offsets = (offsets - offsets[:, :1]).ravel()  # of a block in its shard
