@@ -7,7 +7,9 @@ a term that is everywhere is never gathered. The test items are a stated query s
 their windows are broadcast, after a check of their size, to all segments; a larger set
 is searched in slices. Each window starts from its rarest term in the segment; lists are
 shifted by the terms' offsets and intersected, rarest first, until none is left. A
-proximity match asks for the rarest terms of a window close to each other, in any order.
+proximity match asks for some of the rarest terms of a window close to each other, in any
+order; rare is what few documents of the whole corpus have, and a word of the window that
+a document lacks does not matter.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.
 Null and empty texts have no words; items without words have no windows. An item of
@@ -36,6 +38,10 @@ WINDOW = 10
 MOST_QUERY_WORDS = 1_000_000
 #: A proximity match: so many of the rarest terms within the window's length plus so many words.
 NEAR_TERMS, SLOP = 4, 5
+#: The rarest terms that these may be of.
+NEAR_OF = 6
+#: Rows of the near table and candidates that are held against a segment at once.
+_NEAR_ROWS, _NEAR_PAIRS = 1 << 12, 1 << 14
 
 
 @dataclass
@@ -47,6 +53,23 @@ class Windows:
     lengths: np.ndarray
     item: np.ndarray  # of each window
     item_ids: list[str] = field(default_factory=list)
+    near: np.ndarray | None = None  # see near_table
+
+
+def near_table(windows: Windows, documents: np.ndarray, near_terms: int = NEAR_TERMS, near_of: int = NEAR_OF, slop: int = SLOP) -> np.ndarray:
+    """What proximity asks for, from the ``documents`` of the corpus that have each term.
+
+    A row is (item, span, terms needed, terms to begin from, rarest terms of the corpus padded
+    by -1). Any choice of the needed terms has one of those to begin from.
+    """
+    rows = set()
+    for item, length, terms in zip(windows.item.tolist(), windows.lengths.tolist(), windows.terms.tolist(), strict=True):
+        own = dict.fromkeys(terms[:length])
+        need = min(near_terms, len(own))
+        chosen = sorted((t for t in own if documents[t]), key=lambda t: documents[t])[:near_of]
+        if len(chosen) >= need:
+            rows.add((item, length + slop, need, len(chosen) - need + 1, *chosen, *[-1] * (near_of - len(chosen))))
+    return np.array(sorted(rows), np.int64).reshape(-1, 4 + near_of)
 
 
 def make_windows(items: list[tuple[str, str]], size: int = WINDOW) -> Windows:
@@ -95,25 +118,21 @@ def build_segment(texts: pa.Array, vocabulary: pa.Array) -> Segment:
     return Segment(w.bounds.astype(np.int64), terms.astype(np.int32), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), at[order].astype(np.int32))
 
 
-def search_segment(segment: Segment, windows: Windows, near_terms: int = NEAR_TERMS, slop: int = SLOP) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Exact matches (window, first position, length) and proximity matches (window, document)."""
+def search_segment(segment: Segment, windows: Windows) -> list[tuple[int, int, int]]:
+    """Exact matches (window, first position, length)."""
     exact: list[tuple[int, int, int]] = []
-    near: list[tuple[int, int]] = []
     if not len(windows.terms) or not len(segment.terms):
-        return exact, near
+        return exact
     frequency = np.zeros(len(windows.vocabulary) + 1, np.int64)
     frequency[segment.terms] = np.diff(segment.bounds)
     frequency[-1] = np.iinfo(np.int64).max  # the filler of short windows comes last
     counts = frequency[windows.terms]
     order = np.argsort(counts, axis=1, kind="stable")
     rarest = np.take_along_axis(counts, order, axis=1)
-    need = np.minimum(near_terms, windows.lengths)
-    # A window of common terms only would match by chance almost anywhere: its rarest term must be rare here.
-    for i in np.flatnonzero(rarest[:, 0] > 0).tolist():
+    for i in np.flatnonzero(rarest[:, 0] > 0).tolist():  # a phrase needs all of its words
         length, places = int(windows.lengths[i]), order[i]
         first = int(places[0])
-        anchor = segment.list(windows.terms[i, first])
-        starts = anchor.astype(np.int64) - first
+        starts = segment.list(windows.terms[i, first]).astype(np.int64) - first
         for p in places[1:length].tolist():
             if not len(starts):
                 break
@@ -125,37 +144,54 @@ def search_segment(segment: Segment, windows: Windows, near_terms: int = NEAR_TE
             document = np.searchsorted(segment.starts, starts, side="right")
             starts = starts[(starts >= 0) & (starts + length <= segment.starts[np.minimum(document, len(segment.starts) - 1)])]
             exact += [(i, int(s), length) for s in starts]
-        if not near_terms or rarest[i, need[i] - 1] == 0:
-            continue
-        lists = [segment.list(t) for t in dict.fromkeys(windows.terms[i, places[: need[i]]].tolist())]
-        close = _close(anchor.astype(np.int64), lists[1:], length + slop, segment.starts)
-        near += [(i, int(d)) for d in close]
-    return exact, near
-
-
-def _close(anchor: np.ndarray, lists: list[np.ndarray], span: int, starts: np.ndarray) -> np.ndarray:
-    """Documents in which some anchor has a posting of each list less than ``span`` words away."""
-    for other in lists:
-        if not len(anchor):
-            break
-        at = np.searchsorted(other, anchor)
-        before = anchor - other[np.maximum(at - 1, 0)]
-        after = other[np.minimum(at, len(other) - 1)] - anchor
-        low, high = _own(anchor, starts)
-        ok = ((at > 0) & (before < span) & (anchor - before >= low)) | ((at < len(other)) & (after < span) & (anchor + after < high))
-        anchor = anchor[ok]
-    return np.unique(np.searchsorted(starts, anchor, side="right") - 1)
-
-
-def _own(at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = np.searchsorted(starts, at, side="right")
-    return starts[d - 1], starts[np.minimum(d, len(starts) - 1)]
+    return exact
+
+
+def search_near(segment: Segment, near: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Proximity matches (item, document): some term to begin from has enough of the row's terms less than its span away."""
+    found = [np.zeros((0, 2), np.int64)]
+    n, total = len(segment.starts) - 1, max(1, int(segment.starts[-1]))
+    term = np.repeat(segment.terms.astype(np.int64), np.diff(segment.bounds))
+    keys = term * total + segment.postings
+    held = np.unique(term * n + np.searchsorted(segment.starts, segment.postings, side="right") - 1)
+    term, document = held // max(1, n), held % max(1, n)
+    for part in (near[i : i + _NEAR_ROWS] for i in range(0, len(near) if len(held) else 0, _NEAR_ROWS)):
+        chosen = part[:, 4:]
+        order = np.argsort(chosen, axis=None, kind="stable")
+        ends = np.searchsorted(chosen.ravel()[order], np.arange(vocabulary + 1))
+        at, some = _ranges(ends[term], ends[term + 1])
+        pairs, times = np.unique(document[some] * len(part) + order[at] // chosen.shape[1], return_counts=True)
+        pairs = pairs[times >= part[pairs % len(part), 2]]
+        for i in range(0, len(pairs), _NEAR_PAIRS):
+            d, row = pairs[i : i + _NEAR_PAIRS] // len(part), part[pairs[i : i + _NEAR_PAIRS] % len(part)]
+            slot, which = _ranges(np.zeros(len(row), np.int64), row[:, 3])
+            base = row[which, 4 + slot] * total
+            at, some = _ranges(np.searchsorted(keys, base + segment.starts[d[which]]), np.searchsorted(keys, base + segment.starts[d[which] + 1]))
+            which = which[some]
+            place, span, low, high = keys[at] - base[some], row[which, 1], segment.starts[d[which]], segment.starts[d[which] + 1]
+            met = np.zeros(len(which), np.int64)
+            for t in row[which, 4:].T:
+                after = np.searchsorted(keys, t * total + place)
+                before = keys[np.maximum(after - 1, 0)]
+                close = (after > 0) & (before >= t * total + np.maximum(low, place - span + 1)) & (before <= t * total + place)
+                close |= (after < len(keys)) & (keys[np.minimum(after, len(keys) - 1)] <= t * total + np.minimum(high, place + span) - 1)
+                met += close & (t >= 0)
+            which = which[met >= row[which, 2]]
+            found.append(np.column_stack([row[which, 0], d[which]]))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _ranges(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and which range each is of."""
+    sizes = highs - lows
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(which)) + (lows - np.cumsum(sizes) + sizes)[which], which
 
 
 def hits(segment: Segment, windows: Windows) -> tuple[list[np.ndarray], list[set[str]], list[set[str]]]:
     """For each document: its hit positions, the items found exactly, the items found near."""
     n = len(segment.starts) - 1
-    exact, near = search_segment(segment, windows)
+    exact = search_segment(segment, windows)
     positions: list[list[int]] = [[] for _ in range(n)]
     items: list[set[str]] = [set() for _ in range(n)]
     close: list[set[str]] = [set() for _ in range(n)]
@@ -163,8 +199,8 @@ def hits(segment: Segment, windows: Windows) -> tuple[list[np.ndarray], list[set
         d = int(np.searchsorted(segment.starts, start, side="right")) - 1
         positions[d] += range(start - int(segment.starts[d]), start - int(segment.starts[d]) + length)
         items[d].add(windows.item_ids[windows.item[i]])
-    for i, d in near:
-        close[d].add(windows.item_ids[windows.item[i]])
+    for item, d in [] if windows.near is None else search_near(segment, windows.near, len(windows.vocabulary)).tolist():
+        close[d].add(windows.item_ids[item])
     return [np.unique(np.array(p, np.int64)) for p in positions], items, close
 
 
@@ -189,6 +225,7 @@ INDEX = [
     T.StructField("terms", T.BinaryType()),
     T.StructField("bounds", T.BinaryType()),
     T.StructField("postings", T.BinaryType()),
+    T.StructField("documents", T.BinaryType()),
 ]
 
 
@@ -201,12 +238,31 @@ def build_index(docs: DataFrame, windows: Windows, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches, TaskContext.get().partitionId() << 33):
             s = build_segment(batch.column(text), shared.value)
+            of = np.searchsorted(s.starts, s.postings, side="right")
+            new = np.append(True, of[1:] != of[:-1])[: len(of)]
+            new[s.bounds[:-1]] = True
+            documents = np.add.reduceat(new, s.bounds[:-1], dtype=np.int32) if len(of) else np.zeros(0, np.int32)
             ids = batch.column(doc_id).cast(pa.int64()).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (s.starts, s.terms, s.bounds, s.postings))], [f.name for f in INDEX])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (s.starts, s.terms, s.bounds, s.postings, documents))], [f.name for f in INDEX])
 
     return stored(docs.select(doc_id, text).mapInArrow(run, T.StructType(INDEX)), "postings")
 
 
+def document_frequencies(index: DataFrame, windows: Windows) -> np.ndarray:
+    """In how many documents of the whole corpus each term of the items is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, documents in zip(*(batch.column(c).to_pylist() for c in ("terms", "documents")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int32)), pa.array(np.frombuffer(documents, np.int32))], ["term", "n"])
+
+    kind = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    found = index.select("terms", "documents").mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(windows.vocabulary), np.int64)
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -243,7 +299,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     slices = query_slices(benchmark, size, most=most)
     found = None
     for windows in slices:
-        own = search_index(build_index(docs, windows), windows)
+        index = build_index(docs, windows)
+        windows.near = near_table(windows, document_frequencies(index, windows))
+        own = search_index(index, windows)
         found = own if found is None else found.unionByName(own)
     if len(slices) > 1:  # each slice has its own index over the same segments
         merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
@@ -262,7 +320,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             clean = np.ones(batch.num_rows, bool)
             for windows in shared:
                 segment = build_segment(batch.column(text), windows.value.vocabulary)
-                exact, _ = search_segment(segment, windows.value, near_terms=0)
+                exact = search_segment(segment, windows.value)
                 at = np.array([s for _, s, _ in exact], np.int64)
                 clean[np.searchsorted(segment.starts, at, side="right") - 1] = False
             yield batch.filter(pa.array(clean))
