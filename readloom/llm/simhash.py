@@ -161,23 +161,31 @@ def _anew(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(1).cast("long"))).withColumn(key, F.col(key).bitwiseXOR(F.lit(1).cast("long")))
 
 
-def dedup_components(hashed: DataFrame, doc_id: str = "doc_id", fp: str = "fp", edges: DataFrame | None = None) -> DataFrame:
-    """``hashed`` (a stored table) with ``component_id``: the smallest id reachable over links, or over ``edges`` (a, b) of ``fp``."""
+def _named(hashed: DataFrame, doc_id: str, fp: str, edges: DataFrame | None) -> DataFrame:
+    """Every ``fp`` with the root and the smallest id of its component."""
     nodes = stored(hashed.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "simhash-nodes")
     found = components(links(nodes.select("fp")) if edges is None else edges)
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.join(_anew(least, "root"), "root").select("fp", "component_id")
-    named = nodes.join(linked, "fp", "left").select(F.col("fp").alias(fp), F.coalesce("component_id", "least").alias("component_id"))
-    named = stored(named, "simhash-components")
-    return hashed.drop("component_id").join(named, fp, "left")
+    linked = rooted.join(_anew(least, "root"), "root").select("fp", "root", "component_id")
+    named = nodes.join(linked, "fp", "left").select(F.col("fp").alias(fp), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return stored(named, "simhash-components")
+
+
+def dedup_components(hashed: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
+    """``hashed`` (a stored table) with ``component_id``: the smallest id reachable over links."""
+    return hashed.drop("component_id").join(_named(hashed, doc_id, fp, None).drop("root"), fp, "left")
 
 
 def keep_one(hashed: DataFrame, doc_id: str = "doc_id", fp: str = "fp", edges: DataFrame | None = None) -> DataFrame:
-    """One row of each component: that with the smallest id, and of its fingerprints the smallest."""
+    """One row of each component: that with the smallest id, and of its fingerprints the smallest.
+
+    Components are told by their roots, since ids may be null or repeated; ``edges`` (a, b) of ``fp`` stand for ``links``.
+    """
     columns = [c for c in hashed.columns if c not in (doc_id, fp)]
-    named = dedup_components(hashed.select(doc_id, fp), doc_id, fp, edges)
-    chosen = named.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.col(fp).alias("print"))).alias("one"))
+    ids = hashed.select(doc_id, fp)
+    named = ids.join(_named(ids, doc_id, fp, edges).select(fp, "root"), fp)
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.col(fp).alias("print"))).alias("one"))
     chosen = chosen.select(F.coalesce(F.col("one.id"), F.lit(-1)).alias("_id"), F.col("one.last").alias("_null"), F.col("one.print").alias("_fp")).distinct()
     keyed = hashed.select(F.coalesce(F.col(doc_id), F.lit(-1)).alias("_id"), F.col(doc_id).isNull().alias("_null"), F.col(fp).alias("_fp"), F.struct(doc_id, fp, *columns).alias("row"))
     first = keyed.groupBy("_id", "_null", "_fp").agg(F.first("row").alias("row"))

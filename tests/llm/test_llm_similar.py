@@ -49,3 +49,11 @@ def test_stage_on_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(x["doc_id"] for x in cp.near_duplicates(spark, docs, "").collect())
     assert got == survivors([(x["doc_id"], x["text"]) for x in docs.collect()])
+
+
+def test_texts_without_an_own_id_stay(spark):
+    rows = [(None, f"lost text {i} number {i} of some {i}") for i in range(5)] + [(7, f"again text {i} number {i} of many {i}") for i in range(4)]
+    rows += [(None, rows[0][1]), (7, rows[5][1]), (8, rows[1][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(8, rows[1][1]), *((-1, t) for i, t in rows[:5] if t != rows[1][1]), *rows[5:9]])
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in cp.near_duplicates(spark, docs, "").collect()) == want
