@@ -9,7 +9,10 @@ order. Where some neighbours share no boundary (one endless run of letters), the
 whole text is encoded as one piece. Decoding concatenates the tokens' raw bytes.
 
 Null and empty texts have no tokens. Rows are never matched by a key of the input,
-so repeated rows and repeated keys stay apart.
+so repeated rows and repeated keys stay apart. Long rows are numbered in their scan, so
+the input has to be a stored table or a deterministic plan over one: a task that is run
+again then numbers its rows alike. Columns are kept by name (``keep``); one named like an
+added column is left out.
 """
 
 from __future__ import annotations
@@ -26,11 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import bounded_batches
+from readloom.llm.common import sliced
 
 CHUNK, OVERLAP = 16_384, 1_024
 #: A pre-token that ends this close to a cut could have gone on (the longest alternatives look 3 characters ahead).
 MARGIN = 4
+#: Characters that are left to the library's own splitting; the same pattern splits longer texts. Both give the same ids.
+LONGEST = 1 << 20
+_KNOWN = 1 << 16
 
 _codecs: dict[str, Codec] = {}
 
@@ -44,6 +50,7 @@ class Codec:
 
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line)}
         self.encoding = tiktoken.Encoding("readloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("readloom-piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -53,14 +60,23 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(text) > 1 << 20:
-            return self.encode_long(text)
+        if len(text) > LONGEST:
+            return self.encode_pieces(text)
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
-    def encode_long(self, text: str) -> bytes:
-        """Pre-token by pre-token: the regex engine of the encoder gives up on very long runs."""
-        one = self.encoding._encode_single_piece
-        return b"".join(np.asarray(one(m.group().encode()), "<u4").tobytes() for m in self.pattern.finditer(text))
+    def encode_pieces(self, text: str) -> bytes:
+        """The same ids, pre-token by pre-token: the encoder's own regex engine gives up on runs of a million characters."""
+        whole, known = self.whole.encode_to_numpy, {}
+        out = []
+        for m in self.pattern.finditer(text):
+            piece = m.group()
+            ids = known.get(piece)
+            if ids is None:
+                ids = whole(piece, disallowed_special=()).astype("<u4").tobytes()
+                if len(known) < _KNOWN:
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -93,13 +109,13 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
     """``keep`` columns of ``docs`` plus ``token_ids`` binary (little-endian unsigned 32-bit), a row for each row; and what ``derive`` adds."""
     assert MARGIN < overlap <= chunk
     spark = docs.sparkSession
-    bounded_batches(spark)
+    derive = derive or Derive([], lambda use, ids: [])
+    keep = [c for c in keep if c not in {"token_ids"} | {f.name for f in derive.fields}]
     shared = spark.sparkContext.broadcast(load_vocabulary(path, pattern))
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("body"))
     long = F.coalesce(F.length("body"), F.lit(0)) > chunk + overlap
 
-    derive = derive or Derive([], lambda use, ids: [])
     made = T.StructType([*fields, *([T.StructField("ids", T.BinaryType())] if derive.with_ids else []), *derive.fields])
     short = rows.where(~long).mapInArrow(_encoder(shared, derive), made)
 
@@ -138,12 +154,11 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """Adds the decoded bytes; they are the UTF-8 of the text that was encoded."""
     spark = encoded.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(shared)
-        for batch in batches:
+        for batch in sliced(batches, ids):
             out = pa.array([use.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, to])
 
@@ -163,7 +178,7 @@ def _finish(batch: pa.RecordBatch, without: str, ids: list[bytes], use: Codec, d
 def _encoder(shared: Broadcast, derive: Derive | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(shared)
-        for batch in batches:
+        for batch in sliced(batches, "body"):
             yield _finish(batch, "body", [use.encode(x or "") for x in batch.column("body").to_pylist()], use, derive)
 
     return run
@@ -171,7 +186,7 @@ def _encoder(shared: Broadcast, derive: Derive | None = None):
 
 def _cutter(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "body"):
             names = [n for n in batch.schema.names if n not in ("body", "row")]
             for i in range(batch.num_rows):
                 text, row = batch.column("body")[i].as_py(), batch.column("row")[i].as_py()
@@ -188,7 +203,7 @@ def _cutter(chunk: int, overlap: int):
 def _pre_tokeniser(shared: Broadcast, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = codec(shared).pattern
-        for batch in batches:
+        for batch in sliced(batches, "body"):
             heads, tails = [], []
             for text, part, last in zip(*(batch.column(c).to_pylist() for c in ("body", "part", "last")), strict=True):
                 ends = [m.end() for m in pattern.finditer(text)]
@@ -203,7 +218,7 @@ def _pre_tokeniser(shared: Broadcast, chunk: int, overlap: int):
 def _joiner(shared: Broadcast, derive: Derive):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(shared)
-        for batch in batches:
+        for batch in batches:  # rows of ids, four bytes a token
             yield _finish(batch, "parts", [b"".join(x) for x in batch.column("parts").to_pylist()], use, derive)
 
     return run

@@ -1,4 +1,4 @@
-"""What the operators share: tables, bounded Arrow batches and scratch tables.
+"""What the operators share: tables, bounded batches, slices of long texts and scratch tables.
 
 Scratch tables live under ``spark.checkpoint.dir``, which all executors share, so
 a lost executor never takes an intermediate result with it.
@@ -6,93 +6,49 @@ a lost executor never takes an intermediate result with it.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
-BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+from readloom.operators.storage import scratch_path, stored
+
+__all__ = ["private", "scratch_path", "sliced", "stored", "table"]
 
-_local_roots: dict[str, str] = {}
-_made: dict[str, SparkSession] = {}
-_titles: dict[str, str] = {}
+#: Rows and bytes of text that a Python worker works on at once.
+BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small however long the texts are: a batch ends at so many rows or bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only in local mode."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root and sc.getCheckpointDir():
-        root = sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if sc.applicationId not in _local_roots:
-            _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="readloom-")
-        root = _local_roots[sc.applicationId]
-    return f"{root.rstrip('/')}/readloom-{sc.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for one scratch table or set of files; deleted when Python ends."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _made[path] = spark
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
+def sliced(batches: Iterator[pa.RecordBatch], text: str, rows: int | None = None, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``most`` bytes of ``text``; a longer text is a batch by itself.
 
-    This cuts the lineage: later stages re-read the table when an executor is lost.
+    What a worker holds at once does not depend on the session's Arrow settings, which stay as they are.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``stored``, but bucketed by ``key``: a join on it exchanges the other side only."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    title = "readloom_" + path.rsplit("-", 1)[1]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.bucketBy(parts, key).format("parquet").option("path", path).saveAsTable(title)
-    _titles[path] = title
-    return spark.table(title)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this session; results that read them are gone then."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p, s in _made.items() if s is spark]:
-        _made.pop(path)
-        if path in _titles:
-            spark.sql(f"DROP TABLE IF EXISTS {_titles.pop(path)}")
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-
-def _release_all() -> None:
-    for spark in set(_made.values()):
-        try:
-            release(spark)
-        except Exception:  # noqa: BLE001  the session has ended already
-            return
-
-
-atexit.register(_release_all)
+    rows, most = rows or BATCH_ROWS, most or BATCH_BYTES
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, n = 0, batch.num_rows
+        while at < n:
+            before = int(ends[at - 1]) if at else 0
+            upto = min(n, at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

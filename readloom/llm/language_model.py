@@ -4,15 +4,19 @@ Texts are cut into segments of a bounded number of words. Each segment sends its
 distinct n-grams (64-bit hashes, with their counts: combined before the shuffle) to the
 partitions of the count tables, by hash; every partition sums them up to its count table
 and joins that to the n-grams it was sent; the counts go back to the segments, where the
-scores are summed for each document. Lists of n-grams travel as packed blocks: sorted,
+scores are summed for each document. A row is a block: the n-grams that one segment sends
+to one partition, and only where there are any. So there are never more rows than
+n-grams, in proportion to the words; while blocks are long they travel packed: sorted,
 as differences, byte by byte, so that they compress. Single words and pairs go first; a
 longer n-gram is only sent where both n-grams it is made of occur in other documents,
-since it cannot be found elsewhere otherwise. Segments are bucketed and never move.
+since it cannot be found elsewhere otherwise. An n-gram that is everywhere comes once
+from each segment.
 
 A document is scored by the counts of all others: its own occurrences are taken off,
 else every n-gram would be found and nothing would back off. Exact copies of a document
 are other documents. Words are maximal runs without ASCII white space. Null and empty
-texts have no words and a score of 0. Repeated rows count as often as they come.
+texts have no words and a score of 0. Repeated rows count as often as they come. Ids may
+be of any type; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,29 +32,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import bounded_batches, stored, stored_by
-from readloom.llm.words import IDENTITY, NOT_SPACE, mix, split
+from readloom.llm.common import sliced, stored
+from readloom.llm.words import IDENTITY, NOT_SPACE, mix, pack, split, unpack
 
 ORDER, BACKOFF = 3, 0.4
 #: Words of a segment (a longer text is a segment of its own) and bytes of text behind one partition of the tables.
-SEGMENT_WORDS, BUCKET_BYTES = 1_000_000, 4 << 20
+SEGMENT_WORDS, BUCKET_BYTES = 1_000_000, 16 << 20
+#: Blocks of fewer n-grams on average are sent as they are: packing each would cost more than it saves.
+LEAST_PACKED = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-SEGMENT = T.StructType([T.StructField("segment", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), *(T.StructField(c, T.BinaryType()) for c in ("bounds", "hashes", "words")), T.StructField("n_words", T.LongType())])
-BLOCK = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-ANSWER = T.StructType([T.StructField("segment", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("totals", T.BinaryType())])
+SEGMENT = [T.StructField("segment", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("bounds", "hashes", "words")), T.StructField("n_words", T.LongType())]
+BLOCK = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("packed", T.BooleanType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+ANSWER = T.StructType([T.StructField("segment", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("packed", T.BooleanType()), T.StructField("totals", T.BinaryType())])
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed byte planes: the high bytes of small values are runs of zeros."""
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+def _pieces(values: np.ndarray, ends: np.ndarray, packed: bool) -> pa.Array:
+    """A binary value for each piece of ``values``."""
+    if packed:
+        return pa.array([pack(x) for x in np.split(values, ends[:-1])] if len(ends) else [], pa.binary())
+    offsets = np.concatenate([[0], 8 * ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values.astype("<u8")).tobytes())])
 
 
-def unpack(data: bytes) -> np.ndarray:
-    size = 8 * int.from_bytes(data[:8], "little")
-    planes = pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def _whole(data: bytes, packed: bool) -> np.ndarray:
+    return unpack(data) if packed else np.frombuffer(data, "<u8")
 
 
 def runs(values: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -81,27 +87,27 @@ def n_grams(words: np.ndarray, rows: np.ndarray, order: int) -> list[np.ndarray]
 
 def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = SEGMENT_WORDS) -> DataFrame:
     """The corpus as a stored table of words by number, a row for each segment."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 33, []
         size = 0
 
         def out() -> pa.RecordBatch:
-            ids = [i for x, _, _, _ in held for i in x]
+            ids = pa.chunked_array([x for x, _, _, _ in held]).combine_chunks()
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([b for _, b, _, _ in held]))]).astype("<u8")
             hashes, often, words = runs(np.concatenate([h[c] for _, _, h, c in held]), inverse=True)
             order = np.argsort(-often, kind="stable")  # frequent words get small numbers
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             hashes, words = hashes[order], place[words]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack(bounds), hashes.tobytes(), pack(words))), pa.array([len(words)], pa.int64())], SEGMENT.names)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack(bounds), hashes.tobytes(), pack(words))), pa.array([len(words)], pa.int64()), listed], [*(f.name for f in SEGMENT), "doc_ids"])
 
-        for batch in batches:
-            w = split(batch.column(text), NOT_SPACE, IDENTITY)
+        for batch in sliced(batches, "body"):
+            w = split(batch.column("body"), NOT_SPACE, IDENTITY)
             coded = w.words.dictionary_encode()
-            hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()], np.uint64)
-            held.append((batch.column(doc_id).cast(pa.int64()).to_pylist(), np.diff(w.bounds), hashes, coded.indices.to_numpy(zero_copy_only=False)))
+            hashes = np.array([xxhash.xxh3_64_intdigest(x.as_buffer()) for x in coded.dictionary], np.uint64)
+            held.append((batch.column("id"), np.diff(w.bounds), hashes, coded.indices.to_numpy(zero_copy_only=False)))
             size += len(w.words)
             if size >= most:
                 yield out()
@@ -109,13 +115,16 @@ def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
         if held:
             yield out()
 
-    return stored_by(docs.select(doc_id, text).mapInArrow(run, SEGMENT), "segments", "segment")
+    kind = T.StructType([*SEGMENT, T.StructField("doc_ids", T.ArrayType(docs.schema[doc_id].dataType))])
+    return stored(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).mapInArrow(run, kind), "segments")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """One at a time: a row is a segment."""
+    """One at a time: a row is a segment. Ids stay an Arrow array."""
     for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+        row = batch.slice(i, 1)
+        ids = row.column("doc_ids")[0].values
+        yield row.drop_columns(["doc_ids"]).to_pylist()[0] | {"doc_ids": ids}
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +150,7 @@ def look_up(row: dict, order: int) -> tuple[np.ndarray, list[np.ndarray], list[n
     bounds, words, rows = _read(row)
     answered = {}
     for a in sorted(row["answers"], key=lambda a: (a["round"], a["bucket"])):
-        answered.setdefault(a["round"], []).append(unpack(a["totals"]))
+        answered.setdefault(a["round"], []).append(_whole(a["totals"], a["packed"]))
     seeds = mix(rows.astype(np.uint64) + np.uint64(1 << 40))
     grams, others = n_grams(words, rows, order), []
     for number, lengths in enumerate(rounds(order)):
@@ -176,27 +185,33 @@ def _blocks(order: int, buckets: int, number: int):
                 every = np.concatenate([grams[n - 1] for n in rounds(order)[number]])
                 keys, counts, _ = runs(every[every > 0])
                 own, first = np.unique(_bucket(keys, buckets), return_index=True)
-                ends = [*first[1:].tolist(), len(keys)]
-                for i in range(0, len(own), 64):
-                    part = list(zip(own[i : i + 64].tolist(), first[i : i + 64].tolist(), ends[i : i + 64], strict=True))
-                    steps = [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in part]
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int32()), pa.array([b for b, _, _ in part], pa.int32()), pa.array([row["segment"]] * len(part), pa.int64()), pa.array(steps, pa.binary()), pa.array([pack(counts[a:b]) for _, a, b in part], pa.binary())], BLOCK.names)
+                ends = np.append(first[1:], len(keys))
+                packed = len(keys) >= LEAST_PACKED * len(own)
+                if packed:  # as differences within each block
+                    steps = np.diff(keys, prepend=np.uint64(0))
+                    steps[first] = keys[first]
+                    keys = steps
+                some = 64 if packed else 1 << 16
+                for i in range(0, len(own), some):
+                    a, upto = first[i], ends[i : i + some]
+                    n = len(upto)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(own[i : i + n].astype(np.int64)), pa.array(np.full(n, row["segment"], np.int64)), pa.array(np.full(n, packed)), _pieces(keys[a : upto[-1]], upto - a, packed), _pieces(counts[a : upto[-1]], upto - a, packed)], BLOCK.names)
 
     return run
 
 
 def count_and_join(table: pa.Table) -> pa.Table:
     """One partition of the count tables: sums each n-gram and gives every sender its n-grams' totals."""
-    rows = table.to_pylist()
-    keys = [np.cumsum(unpack(r["grams"]), dtype=np.uint64) for r in rows]
+    packed, grams, counts = (table.column(c).to_pylist() for c in ("packed", "grams", "counts"))
+    keys = [np.cumsum(unpack(g), dtype=np.uint64) if p else np.frombuffer(g, "<u8") for g, p in zip(grams, packed, strict=True)]
     _, _, which = runs(np.concatenate(keys), inverse=True)
-    totals = np.bincount(which, weights=np.concatenate([unpack(r["counts"]) for r in rows])).astype(np.uint64)
+    totals = np.bincount(which, weights=np.concatenate([_whole(c, p) for c, p in zip(counts, packed, strict=True)])).astype(np.uint64)[which]
     ends = np.cumsum([len(k) for k in keys])
-    answers = [pack(totals[which[e - len(k) : e]]) for e, k in zip(ends, keys, strict=True)]
-    return pa.table([pa.array([r["segment"] for r in rows], pa.int64()), pa.array([r["round"] for r in rows], pa.int32()), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array(answers, pa.binary())], ANSWER.names)
+    answers = [pack(totals[e - len(k) : e]) if p else totals[e - len(k) : e].tobytes() for e, k, p in zip(ends, keys, packed, strict=True)]
+    return table.select(["segment", "round", "bucket", "packed"]).append_column("totals", pa.array(answers, pa.binary()))
 
 
-def score_segment(row: dict, order: int, total_words: int, backoff: float) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+def score_segment(row: dict, order: int, total_words: int, backoff: float) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, words, summed log scores, and words found at each length ((documents, order))."""
     bounds, _, others = look_up(row, order)
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -226,7 +241,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
     """doc_id, n_words, log_score (sum), mean_log_score, and found_n: words found by an n-gram of that length."""
     cut = segments(docs, doc_id, text, segment_words)
     words = cut.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(1, min(1 << 20, -(-words * 6 // bucket_bytes)))
+    buckets = max(1, -(-words * 6 // bucket_bytes))
+    names = cut.columns
     listed = T.ArrayType(T.StructType(ANSWER.fields[1:]))
     known, joined = None, cut.withColumn("answers", F.array().cast(listed))
     for number in range(len(rounds(order))):
@@ -234,13 +250,14 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
         answers = stored(blocks.groupBy("round", "bucket").applyInArrow(count_and_join, ANSWER), "counts")
         known = answers if known is None else known.unionByName(answers)
         gathered = known.groupBy("segment").agg(F.collect_list(F.struct(*ANSWER.names[1:])).alias("answers"))
-        joined = cut.join(gathered, "segment", "left").select(*SEGMENT.names, F.coalesce("answers", F.array().cast(listed)).alias("answers"))
-    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), *(T.StructField(f"found_{n}", T.LongType()) for n in range(1, order + 1))])
+        joined = cut.join(gathered, "segment", "left").select(*names, F.coalesce("answers", F.array().cast(listed)).alias("answers"))
+    kind = cut.schema["doc_ids"].dataType.elementType
+    shape = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), *(T.StructField(f"found_{n}", T.LongType()) for n in range(1, order + 1))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 ids, sizes, sums, found = score_segment(row, order, words, backoff)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sums), pa.array(sums / np.maximum(sizes, 1)), *(pa.array(found[:, n]) for n in range(order))], shape.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums), pa.array(sums / np.maximum(sizes, 1)), *(pa.array(found[:, n]) for n in range(order))], shape.names)
 
     return joined.mapInArrow(run, shape)

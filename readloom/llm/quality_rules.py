@@ -7,7 +7,9 @@ covers its words at every occurrence, the first included; covered characters are
 counted once per length. Lines are compared exactly.
 
 Null and empty texts have no words, fail the base rules and keep zero shares.
-Rows are handled one by one: repeated rows give repeated results.
+Rows are handled one by one: repeated rows give repeated results. A worker holds about
+10 bytes for each byte of one slice of texts, or of one longer text; n-grams are compared
+by ranges of their hashes, so that sorting adds little.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from readloom.llm.common import bounded_batches
-from readloom.llm.words import IDENTITY, NOT_SPACE, mix, raw, split
+from readloom.llm.common import sliced
+from readloom.llm.words import IDENTITY, NOT_SPACE, mix, raw, split, sums
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -35,51 +37,67 @@ MOST_IN_LINES, MOST_LINES = 0.25, 0.40
 MOST_SYMBOLS = 0.10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: N-grams that are sorted at once.
+_SORTED = 1 << 20
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether each key occurs more than once."""
+    out = np.zeros(len(keys), bool)
+    ranges = max(1, -(-len(keys) // _SORTED))
+    part = np.zeros(len(keys), np.uint16 if ranges < 1 << 16 else np.uint32)
+    for i in range(0, len(keys) if ranges > 1 else 0, _SORTED):
+        part[i : i + _SORTED] = ((keys[i : i + _SORTED] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    for k in range(ranges):
+        own = np.flatnonzero(part == k) if ranges > 1 else np.arange(len(keys))
+        order = np.argsort(keys[own])
+        same = np.diff(keys[own][order]) == 0
+        out[own[order[1:][same]]] = True
+        out[own[order[:-1][same]]] = True
+    return out
 
 
 def measures(columns: pa.Array, lengths: list[int]) -> dict[str, np.ndarray]:
     """Counts for each text. ``covered_n``: characters of words inside duplicated n-grams of length n."""
     w = split(columns, NOT_SPACE, IDENTITY)
-    n_rows = len(w.bounds) - 1
-    n_words = np.diff(w.bounds)
-    rows = w.rows
-    points = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum((w.data & 0xC0) != 0x80, out=points[1:])
-    chars = points[w.ends] - points[w.starts]
-    symbols = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum(SYMBOLS[w.data], out=symbols[1:])
-    per_row = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[w.bounds])
-    out = {"n_words": n_words, "word_chars": per_row(chars), "n_symbols": symbols[w.row_bytes[1:]] - symbols[w.row_bytes[:-1]]}
-    ids = w.words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.uint64)
-    values, seeds = mix(ids + np.uint64(1)), mix(rows.astype(np.uint64) + np.uint64(1 << 40))
-    left = w.bounds[1:][rows] - np.arange(len(rows))  # words from here to the end of the text
+    n_rows, n_words = len(w.bounds) - 1, np.diff(w.bounds)
+    joined, small = w.words.buffers()[2], w.starts.dtype
+    offsets = np.frombuffer(w.words.buffers()[1], small)[: len(w.words) + 1]
+    chars = sums((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80, offsets, np.int32)
+    out = {"n_words": n_words, "word_chars": sums(chars, w.bounds), "n_symbols": sums(SYMBOLS[w.data], w.row_bytes)}
+    ids, bounds = w.words.dictionary_encode().indices.to_numpy(zero_copy_only=False), w.bounds
+    del w, joined, offsets
+    values, seeds = mix(ids.astype(np.uint64) + np.uint64(1)), mix(np.arange(n_rows, dtype=np.uint64) + np.uint64(1 << 40))
+    rows = np.repeat(np.arange(n_rows, dtype=np.int32), n_words)
+    left = np.repeat(bounds[1:].astype(small), n_words) - np.arange(len(rows), dtype=small)  # words from here to the end of the text
     rolled, n = values.copy(), 1
     for length in sorted({3, *lengths}):
         while n < length:  # h(i, n + 1) = h(i, n) * base + value(i + n)
-            rolled = rolled[:-1] * _BASE + values[n:] if len(rolled) else rolled
+            rolled = rolled[:-1]
+            rolled *= _BASE
+            rolled += values[n:]
             n += 1
-        whole = np.flatnonzero(left[: len(rolled)] >= length)
-        covered = np.zeros(len(rows) + 1, np.int64)
+        whole = np.flatnonzero(left[: len(rolled)] >= length).astype(small)
+        covered = np.zeros(len(rows) + 1, np.int32)
         if len(whole):
-            keys = mix(rolled[whole]) ^ seeds[whole]
-            _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-            starts = whole[times[which] > 1]
-            np.add.at(covered, starts, 1)
-            np.add.at(covered, starts + length, -1)
-        inside = np.cumsum(covered[:-1]) > 0
+            keys = mix(rolled[whole])
+            keys ^= seeds[rows[whole]]
+            starts = whole[repeated(keys)]
+            del keys
+            covered[starts] += 1
+            covered[starts + length] -= 1
+        inside = np.cumsum(covered[:-1], dtype=np.int32) > 0
         if length == 3:
-            out["n_repeat_words"] = per_row(inside)
+            out["n_repeat_words"] = sums(inside, bounds)
         if length in lengths:
-            out[f"covered_{length}"] = per_row(np.where(inside, chars, 0))
+            out[f"covered_{length}"] = sums(chars * inside, bounds)
+    del values, rolled, rows, left, chars, covered
     # lines
-    texts = pc.fill_null(columns, "")
-    lines = pc.split_pattern(texts, "\n")
+    lines = pc.split_pattern(pc.fill_null(columns, ""), "\n")
     of = pc.list_parent_indices(lines).to_numpy()
     flat = pc.list_flatten(lines)
     line_data, line_bounds = raw(flat)
-    solid = np.zeros(len(line_data) + 1, np.int64)
-    np.cumsum(NOT_SPACE[line_data] & ((line_data & 0xC0) != 0x80), out=solid[1:])
-    solid = solid[line_bounds[1:]] - solid[line_bounds[:-1]]
+    solid = sums(NOT_SPACE[line_data] & ((line_data & 0xC0) != 0x80), line_bounds)
     codes = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     seen = np.ones(len(of), bool)
     if len(of):
@@ -98,7 +116,6 @@ def quality_rules(docs: DataFrame, text: str = "text", most: dict[int, float] |
     A column of ``docs`` with the name of a measure is replaced.
     """
     most = MOST_IN_NGRAMS if most is None else most
-    bounded_batches(docs.sparkSession)
     lengths = sorted(most)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "dup_line_chars", *(f"covered_{n}" for n in lengths)]
     added = [*(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_failed", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("kept", T.BooleanType())]
@@ -106,7 +123,7 @@ def quality_rules(docs: DataFrame, text: str = "text", most: dict[int, float] |
     old = [c for c in docs.columns if c == text or c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             m = measures(batch.column(text), lengths)
             words, chars = m["n_words"], np.maximum(m["word_chars"], 1)
             base = (words < least_words) | (100 * m["n_repeat_words"] > 50 * words)

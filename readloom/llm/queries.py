@@ -16,7 +16,7 @@ from readloom.llm.common import stored, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of benchmark windows in every document."""
+    """Hits of benchmark windows in every document, and the items whose rarest window terms stand close together in it."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
@@ -25,6 +25,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("near_items")), 256).alias("near_items_sha256"),
     )
 
 
@@ -88,7 +90,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff score of every document by the trigrams of all others."""
-    return language_model.score(table(spark, sf_dir, "documents"))
+    scored = language_model.score(table(spark, sf_dir, "documents"))
+    # Sums of logarithms depend on their order in the last places.
+    return scored.select("doc_id", "n_words", (F.round("log_score", 4) + 0.0).alias("log_score"), (F.round("mean_log_score", 6) + 0.0).alias("mean_log_score"), "found_1", "found_2", "found_3")
 
 
 def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +108,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffle_into_shards(docs, docs.columns)
     body = F.coalesce(F.col("text"), F.lit(""))
     size, crc = (F.octet_length(body) + 1).cast("long"), F.crc32(body.cast("binary")).cast("long")
-    return dealt.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.xxhash64(body).alias("text_group"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,35 +122,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontaminate, op2_quality_rules, op3_secrets, op4_bpe, op5_quality_classifier, op6_simhash, op7_language_model, op8_chat_rotation, op9_sharding, op10_warc, proximity_matches)
 }
 
+#: The words of documents and items, windows, and proximity: the six rarest terms that the corpus has, four of them near.
+_WINDOWS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ws AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS ts
+       FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+numbered AS (SELECT *, row_number() OVER () AS wid FROM ws),
+own AS (SELECT *, count(*) OVER (PARTITION BY wid) AS size FROM (SELECT wid, item_id, n, t, min(j) AS j FROM (SELECT wid, item_id, n, unnest(ts) AS t, unnest(range(1, n + 1)) AS j FROM numbered) GROUP BY wid, item_id, n, t)),
+post AS (SELECT * FROM (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE t IN (SELECT t FROM own)),
+df AS (SELECT t, count(DISTINCT doc_id) AS f FROM post GROUP BY t),
+ranked AS (SELECT wid, item_id, n, t, least(4, size) AS need, row_number() OVER (PARTITION BY wid ORDER BY f, j) AS r FROM own JOIN df USING (t)),
+chosen AS (SELECT *, count(*) OVER (PARTITION BY wid) AS c FROM ranked WHERE r <= 6),
+pick AS (SELECT * FROM chosen WHERE c >= need),
+anchor AS (SELECT wid, item_id, n, need, doc_id, p FROM pick JOIN post USING (t) WHERE r <= c - need + 1),
+near AS (SELECT DISTINCT doc_id, item_id FROM (
+           SELECT a.doc_id, a.item_id FROM anchor a JOIN pick c ON c.wid = a.wid JOIN post x ON x.doc_id = a.doc_id AND x.t = c.t AND abs(x.p - a.p) < a.n + 5
+           GROUP BY a.wid, a.item_id, a.doc_id, a.p, a.need HAVING count(DISTINCT x.t) >= a.need))
+"""
+
 _SPACE = r"\x20\x09-\x0D"
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_decontaminate": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
-        FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
-sizes AS (SELECT DISTINCT n FROM win),
-grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
-          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT doc_id, item_id, i, n FROM grams JOIN win USING (n, g)),
-hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
-""",
     "op8_chat_rotation": r"""
 WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body) - 1 AS k FROM t),
 people AS (SELECT DISTINCT conv_id, speaker AS me FROM t WHERE speaker <> 'system'),
-r AS (SELECT n.conv_id, me, k // 256 AS part, k, speaker = me AS own,
+parts AS (SELECT DISTINCT conv_id, k // 256 AS part FROM n WHERE k >= 256),
+force AS (SELECT p.conv_id, p.part, -1 AS k, arg_max(n.speaker, n.k) AS speaker, arg_max(n.body, n.k) AS body
+          FROM parts p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.speaker = 'system' AND n.k < p.part * 256 GROUP BY p.conv_id, p.part),
+shown AS (SELECT conv_id, k // 256 AS part, k, speaker, body FROM n UNION ALL SELECT * FROM force),
+r AS (SELECT n.conv_id, me, part, k, coalesce(speaker = me, false) AS own,
              CASE WHEN speaker = me THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head,
              body || '<|end|>' || chr(10) AS said
-      FROM n JOIN people ON n.conv_id IS NOT DISTINCT FROM people.conv_id),
+      FROM shown n LEFT JOIN people ON n.conv_id IS NOT DISTINCT FROM people.conv_id),
 s AS (SELECT *, sum(length(head) + length(said)) OVER (PARTITION BY conv_id, me, part ORDER BY k) AS upto FROM r)
-SELECT conv_id, me AS speaker, CAST(part AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+SELECT conv_id, me AS speaker, CAST(part AS BIGINT) AS part, count(*) FILTER (k >= 0) AS n_turns, count(*) FILTER (own) AS n_own,
        string_agg(head || said, '' ORDER BY k) AS rendered,
        coalesce(string_agg(CAST(upto - length(said) AS BIGINT) || ':' || CAST(upto AS BIGINT), ',' ORDER BY k) FILTER (own), '') AS mask
 FROM s GROUP BY conv_id, me, part
@@ -191,3 +202,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE_SQL["op2_quality_rules"] = _op2_sql()
+ORACLE_SQL["op7_language_model"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, len(w) AS n, p, w[p] AS a, CASE WHEN p > 1 THEN concat(w[p - 1], ' ', w[p]) END AS b, CASE WHEN p > 2 THEN concat(w[p - 2], ' ', w[p - 1], ' ', w[p]) END AS c
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+others AS (SELECT doc_id, n, p, (SELECT count(*) FROM g) - n AS rest,
+                  count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY doc_id, a) AS x,
+                  CASE WHEN p > 1 THEN count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY doc_id, b) ELSE 0 END AS y,
+                  CASE WHEN p > 2 THEN count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) ELSE 0 END AS z FROM g),
+under AS (SELECT *, lag(x) OVER one AS x_before, lag(y) OVER one AS y_before FROM others WINDOW one AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, CASE WHEN z > 0 THEN 3 WHEN y > 0 THEN 2 WHEN x > 0 THEN 1 ELSE 0 END AS found,
+             CASE WHEN z > 0 THEN ln(z / y_before) WHEN y > 0 THEN CASE WHEN p > 2 THEN ln(0.4) ELSE 0 END + ln(y / x_before)
+                  WHEN x > 0 THEN ln(0.4) * (least(p, 3) - 1) + ln(x / rest) ELSE ln(0.4) * least(p, 3) - ln(rest + 1) END AS score FROM under),
+t AS (SELECT doc_id, sum(score) AS score, count(*) FILTER (found = 1) AS f1, count(*) FILTER (found = 2) AS f2, count(*) FILTER (found = 3) AS f3 FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) + 0.0 AS log_score, round(coalesce(score, 0) / greatest(len(w), 1), 6) + 0.0 AS mean_log_score,
+       coalesce(f1, 0) AS found_1, coalesce(f2, 0) AS found_2, coalesce(f3, 0) AS found_3
+FROM d LEFT JOIN t USING (doc_id)
+"""
+ORACLE_SQL["proximity_matches"] = _WINDOWS + "SELECT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM near"
+ORACLE_SQL["op1_decontaminate"] = (
+    _WINDOWS
+    + """,
+win AS (SELECT item_id, n, array_to_string(ts, ' ') AS g FROM ws),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, i, n FROM grams JOIN win USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+close AS (SELECT doc_id, count(*) AS n_near, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS near_names FROM near GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near_names, '')) AS near_items_sha256
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN close USING (doc_id)
+"""
+)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from readloom.llm import common, decontaminate
+from readloom.llm import decontaminate
 
 
 def words(text):
@@ -33,7 +33,7 @@ def plain_near(docs, items):
 
 @pytest.mark.parametrize("batch", [512, 7, 1])
 def test_near_items_do_not_depend_on_batches(spark, monkeypatch, batch):
-    monkeypatch.setattr(common, "BATCH_ROWS", batch)
+    monkeypatch.setattr(decontaminate.build_index, "__defaults__", ("doc_id", "text", batch, 1 << 20))
     r = random.Random(11)
     draw = lambda n: [f"w{int(120 * r.random() ** 2)}" for _ in range(n)]
     items = [(i, " ".join(draw(n))) for i, n in enumerate((3, 9, 10, 14, 25))] + [(9, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]

@@ -13,7 +13,8 @@ import tiktoken
 import __spark_entry__
 from readloom.llm import quality_classifier, secrets
 from readloom.llm.queries import ORACLE_SQL, QUERIES, held_out
-from tests.llm.test_llm_structure import PATH, plain_fingerprint, roots
+from tests.llm.test_llm_similar import survivors
+from tests.llm.test_llm_structure import PATH
 from tests.llm.test_llm_text import plain_hits
 
 SF = "/root/testdata/sf0.001"
@@ -32,9 +33,7 @@ def test_pipeline(spark):
     score = model.score(quality_classifier.features(pa.array([rows[0][i]["text"] for i in ids])))
     assert sorted(rows[1]) == [i for i, s in zip(ids, score, strict=True) if s >= 0.5]
     # 2: the smallest id of each group
-    ids = sorted(rows[1])
-    root = roots([plain_fingerprint(rows[1][i]["text"]) for i in ids])
-    assert sorted(rows[2]) == sorted(ids[k] for k in set(root))
+    assert sorted(rows[2]) == survivors([(i, r["text"]) for i, r in rows[1].items()])
     # 3
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t))

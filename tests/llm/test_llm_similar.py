@@ -4,8 +4,9 @@ import itertools
 import random
 
 import corpus_pipeline as cp
+import pytest
 
-from readloom.llm import similar
+from readloom.llm import similar, simhash
 
 
 def shingles(text):
@@ -24,7 +25,13 @@ def survivors(rows):
     return sorted(min(rows[k][0] for k in range(len(rows)) if root[k] == x) for x in set(root))
 
 
-def test_near_duplicate_stage(spark, monkeypatch):
+def stored(spark, tmp_path, rows):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(str(tmp_path / "docs"))
+    return spark.read.parquet(str(tmp_path / "docs"))
+
+
+def test_near_duplicate_stage(spark, monkeypatch, tmp_path):
     r = random.Random(8)
     rows = []
     for n in (1, 4, 5, 6, 30, 80, 200, 248, 600):
@@ -37,11 +44,11 @@ def test_near_duplicate_stage(spark, monkeypatch):
             rows += [other, ["License", "notice:", "use", "it", "as", "you", "like", *other]]
     texts = [*(" ".join(w) for w in rows), "", None, " \n", " ".join(rows[-1]).upper()]
     rows = list(zip(r.sample(range(1000), len(texts)), texts, strict=True))
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = stored(spark, tmp_path, rows)
     want = survivors(rows)
     assert len(want) < len(rows) - 20
     for sample in (20_000, 0):
-        monkeypatch.setattr(similar.common_shingles, "__defaults__", ("text", "fp", sample, 5))
+        monkeypatch.setattr(similar.common_shingles, "__defaults__", ("text", sample, 5))
         assert sorted(x["doc_id"] for x in cp.near_duplicates(spark, docs, "").collect()) == want
 
 
@@ -51,9 +58,33 @@ def test_stage_on_the_tables(spark):
     assert got == survivors([(x["doc_id"], x["text"]) for x in docs.collect()])
 
 
-def test_texts_without_an_own_id_stay(spark):
+def test_texts_without_an_own_id_stay(spark, tmp_path):
     rows = [(None, f"lost text {i} number {i} of some {i}") for i in range(5)] + [(7, f"again text {i} number {i} of many {i}") for i in range(4)]
     rows += [(None, rows[0][1]), (7, rows[5][1]), (8, rows[1][1])]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = stored(spark, tmp_path, rows)
     want = sorted([(8, rows[1][1]), *((-1, t) for i, t in rows[:5] if t != rows[1][1]), *rows[5:9]])
     assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in cp.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_rows_that_are_numbered_otherwise_fail_the_job(spark):
+    rows = [(i, "the same words again and again " * 3 if i % 2 else f"other words {i} and some more of them") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    named = similar.named_sets(docs)
+    with pytest.raises(Exception, match="numbered otherwise"):
+        simhash.keep_one(docs.where("doc_id > 3"), named, similar.links(docs, named)).collect()
+
+
+def test_several_families_that_share_a_key(spark, tmp_path):
+    """Texts of one key that are not alike, some of them alike among each other but not like the key's smallest set."""
+    r = random.Random(5)
+    shared = [f"s{i}" for i in range(8)]
+    rows = []
+    for k in range(6):
+        body = [f"w{k}x{i}" for i in range(30 + 2 * k)]
+        for _ in range(5):
+            other = list(body)
+            other[r.randrange(len(body))] = f"y{r.randrange(99)}"
+            rows.append(" ".join([*shared, *other]))
+    rows = list(enumerate(rows))
+    docs = stored(spark, tmp_path, rows)
+    assert sorted(x["doc_id"] for x in cp.near_duplicates(spark, docs, "").collect()) == survivors(rows)

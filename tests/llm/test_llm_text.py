@@ -1,6 +1,5 @@
 """Word splitting, quality rules, decontamination and language model against plain versions."""
 
-import hashlib
 import math
 import random
 import re
@@ -11,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from readloom.llm import decontaminate, language_model, quality_rules
-from readloom.llm.words import ALNUM, IDENTITY, LOWER, NOT_SPACE, split
+from readloom.llm.words import ALNUM, IDENTITY, LOWER, NOT_SPACE, pack, split, unpack
 
 DOCS = "doc_id long, text string, n_words string"  # n_words: a column with a clashing name
 ODD = [None, "", " ", "\n\n", "a", "\x00b\x00 c", "x\x0by\x0cz", "é É ß", " lead and trail ", "same line\nsame line\n\n \nother", "日本語 テキスト", "a b c a b c a b c"]
@@ -92,7 +91,7 @@ def plain_hits(text, items, size=10):
     return len(words), sorted(hit), sorted(names)
 
 
-@pytest.mark.parametrize("most", [1_000_000, 1])
+@pytest.mark.parametrize("most", [1_000_000, 40, 1])
 def test_decontamination(spark, most):
     r = random.Random(5)
     vocabulary = ["the", "of", "Rare%d" % r.randrange(9), "é", "x9", "and"] + [f"w{i}" for i in range(12)]
@@ -162,7 +161,62 @@ def test_language_model(spark, words, size):
     assert language_model.score(df.limit(0)).count() == 0
 
 
-def test_counts_digest():
+def test_blocks_are_no_more_than_n_grams(spark, monkeypatch):
+    """However many partitions the count tables have, and packed or not, the scores are the same."""
+    r = random.Random(4)
+    rows = [(f"d{i}", " ".join(r.choice("abcdefghijkl") for _ in range(30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    want = sorted((i, round(s, 6) + 0.0) for i, _, s, _ in plain_scores(rows))
+    for least in (0, 64):
+        monkeypatch.setattr(language_model, "LEAST_PACKED", least)
+        got = language_model.score(df, segment_words=200, bucket_bytes=1).collect()
+        assert sorted((x["doc_id"], round(x["log_score"], 6)) for x in got) == want
+    cut = language_model.segments(df, most=200)
+    empty = cut.selectExpr("*", "cast(array() as array<struct<round:int,bucket:bigint,packed:boolean,totals:binary>>) AS answers")
+    blocks = empty.mapInArrow(language_model._blocks(3, 1 << 30, 0), language_model.BLOCK).count()
+    assert blocks <= sum(len({*t.split(), *zip(t.split(), t.split()[1:])}) for _, t in rows)
+
+
+def test_counts_are_packed():
     values = np.array([0, 1, 255, 256, 2**63], np.uint64)
-    assert language_model.unpack(language_model.pack(values)).tolist() == values.tolist()
-    assert hashlib.sha256(b"").hexdigest()
+    assert unpack(pack(values)).tolist() == values.tolist() and unpack(pack(values[:0])).tolist() == []
+
+
+def test_one_index_serves_several_benchmarks(spark, monkeypatch):
+    rows, df = documents(spark, 30, seed=9)
+    index = decontaminate.build_index(df)
+    monkeypatch.setattr(decontaminate, "build_index", None)
+    for items in ([(1, "foo bar a1 the"), (2, "é")], [("x", rows[20][1]), ("y", "of")]):
+        bench = spark.createDataFrame(items, f"item_id {'long' if items[0][0] == 1 else 'string'}, text string")
+        got = sorted(((r["doc_id"], r["n_words"], r["hits"], r["items"]) for r in decontaminate.search(index, bench).collect()), key=str)
+        assert got == sorted(((i, *plain_hits(t, items)) for i, t, _ in rows), key=str)
+
+
+def test_dropping_keeps_columns_and_ids(spark, monkeypatch):
+    rows = [("a", "one two three", 1), ("a", "clean text", 2), (None, "one two three", 3), (None, None, 4), ("b", "x one two three", 5), ("b", "x one two three", 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, bad_id int").coalesce(2)
+    bench = spark.createDataFrame([(1, "One, two three")], "item_id long, text string")
+    for most in (200_000, 0):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+        got = decontaminate.drop_contaminated(df, bench)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[3]], key=str)
+
+
+def test_long_texts_in_little_memory():
+    """One text of 100 MB: what numpy and Python hold at once, as a multiple of the text."""
+    import tracemalloc
+
+    from readloom.llm import quality_classifier, simhash
+
+    r = np.random.default_rng(1)
+    words = np.array([f"w{i}x" if i % 9 else f"w{i}\n" for i in range(50_000)])
+    text = " ".join(words[r.integers(0, len(words), 14_500_000)].tolist())
+    assert len(text) > 95 << 20
+    column = pa.array([text], pa.string())
+    del text
+    for job, most in ((lambda: quality_rules.measures(column, list(quality_rules.MOST_IN_NGRAMS)), 10), (lambda: simhash.fingerprints(column), 10), (lambda: quality_classifier.features(column), 10)):
+        tracemalloc.start()
+        job()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(column[0].as_buffer()), peak / len(column[0].as_buffer())
