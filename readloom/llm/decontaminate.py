@@ -150,7 +150,7 @@ def search_segment(segment: Segment, windows: Windows) -> tuple[np.ndarray, np.n
     total = int(segment.starts[-1]) + 1
     keys = np.repeat(segment.terms, np.diff(segment.bounds)) * total + segment.postings
     order = np.argsort(counts[windows.terms[present]], axis=1, kind="stable")
-    rarest = np.take_along_axis(windows.terms[present], order, axis=1)
+    rarest = np.take_along_axis(windows.terms[present].astype(np.int64), order, axis=1)  # their products exceed 32 bits
     found_w, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     ends = np.cumsum(counts[rarest[:, 0]]) if len(present) else np.zeros(0, np.int64)
     lo = 0

@@ -25,7 +25,7 @@ from readloom.llm.common import private
 
 KEY = r"[A-Za-z0-9_+/\-]"
 _VALUE = r"[^\s\"'`,;<>]"
-_ASSIGNED = r"(?<=[=:\s\"'`])(?<=(?i:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|api[_-]?key|auth|private[_-]?key|access[_-]?key)[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)"
+_ASSIGNED = r"(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|api[_-]?key|auth|private[_-]?key|access[_-]?key)[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)"
 #: Alternatives are tried in this order at each place. A value does not end in a full stop or a bracket.
 CANDIDATE = "|".join(
     [

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 
 from readloom.llm import similar, simhash
@@ -47,8 +48,9 @@ def test_near_duplicate_stage(spark, monkeypatch, tmp_path):
     docs = stored(spark, tmp_path, rows)
     want = survivors(rows)
     assert len(want) < len(rows) - 20
-    for sample in (20_000, 0):
-        monkeypatch.setattr(similar.common_shingles, "__defaults__", ("text", sample, 5))
+    for most in (200_000, 0):
+        monkeypatch.setattr(similar, "MOST_BROADCAST", most)
+        monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
         assert sorted(x["doc_id"] for x in cp.near_duplicates(spark, docs, "").collect()) == want
 
 
@@ -88,3 +90,30 @@ def test_several_families_that_share_a_key(spark, tmp_path):
     rows = list(enumerate(rows))
     docs = stored(spark, tmp_path, rows)
     assert sorted(x["doc_id"] for x in cp.near_duplicates(spark, docs, "").collect()) == survivors(rows)
+
+
+def test_sketches_discard_no_similar_pair():
+    r = np.random.default_rng(3)
+    for n in (3, 20, 90, 700, 4_000):
+        for _ in range(60):
+            whole = r.integers(-(2**62), 2**62, n)
+            gone = int(r.integers(0, n // 5 + 1))
+            other = np.unique(np.concatenate([whole[gone:], r.integers(-(2**62), 2**62, int(r.integers(0, gone + 1)))]))
+            whole = np.unique(whole)
+            apart = int(np.bitwise_count((similar.sketch(whole) ^ similar.sketch(other)).view(np.uint64)).sum())
+            both = len(np.intersect1d(whole, other))
+            assert apart <= len(whole) + len(other) - 2 * both
+            if 10 * both >= 8 * (len(whole) + len(other) - both):
+                assert 9 * apart <= len(whole) + len(other)
+
+
+def test_bands_find_pairs_at_the_limit():
+    r = np.random.default_rng(4)
+    missed = 0
+    for _ in range(400):  # sets of exactly 0.8
+        shared = r.integers(-(2**62), 2**62, 80)
+        a, b = (np.unique(np.concatenate([shared, r.integers(-(2**62), 2**62, 10)])) for _ in "ab")
+        missed += not (similar.bands(a) == similar.bands(b)).any()
+        assert not (similar.bands(a) == similar.bands(r.integers(-(2**62), 2**62, 90))).any()
+    assert missed == 0
+    assert (similar.bands(a, most=7) == similar.bands(a)).all() and len(similar.bands(a[:0])) == similar.BANDS

@@ -220,3 +220,14 @@ def test_long_texts_in_little_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < most * len(column[0].as_buffer()), peak / len(column[0].as_buffer())
+
+
+def test_positions_beyond_32_bits_of_term_and_place(spark, monkeypatch):
+    """A large segment: terms times positions exceed 32 bits."""
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.randrange(9_000)}" for _ in range(1_500))) for i in range(250)]
+    items = [(i, " ".join(rows[i][1].split()[40:70])) for i in range(0, 250, 5)] + [(1000 + i, " ".join(f"w{r.randrange(9_000)}" for _ in range(40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"))
+    got = {x["doc_id"]: (x["items"], x["hits"]) for x in found.collect()}
+    assert {i: x for i, x in got.items() if x[0]} == {i: ([str(i)], list(range(40, 70))) for i in range(0, 250, 5)}
