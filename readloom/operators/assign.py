@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from readloom.functions import iupac
 from readloom.operators.storage import ranked, stored
@@ -23,6 +22,8 @@ CHUNK = 500_000
 MOST_BROADCAST = 50_000
 #: Plain sequences that a block with ambiguity codes may stand for; beyond, such entries are compared with every sequence.
 MOST_EXPANDED = 1_024
+#: Reads from which a sequence is popular: its name is broadcast even where those of all cannot be.
+POPULAR = 100_000
 
 
 def _hinted(df: DataFrame, rows: int) -> DataFrame:
@@ -74,9 +75,9 @@ def match(sequences: DataFrame, table: dict[str, Entry], mismatches: int = 0) ->
 
 
 def ids(sequences: DataFrame, prefix: str = "ID") -> DataFrame:
-    """seq, assigned: ID1, ID2, ... for (chunk, seq) rows, in order of the first chunk and the sequence."""
-    first = sequences.groupBy("seq").agg(F.min("chunk").alias("chunk"))
-    return ranked(first, ["chunk", "seq"], "k").select("seq", F.concat(F.lit(prefix), F.col("k").cast("string")).alias("assigned"))
+    """seq, assigned, reads: ID1, ID2, ... for (chunk, seq) rows, in order of the first chunk and the sequence."""
+    first = sequences.groupBy("seq").agg(F.min("chunk").alias("chunk"), F.count("*").alias("reads"))
+    return ranked(first, ["chunk", "seq"], "k").select("seq", F.concat(F.lit(prefix), F.col("k").cast("string")).alias("assigned"), "reads")
 
 
 def or_unknown(sequence: Column) -> Column:
@@ -89,25 +90,42 @@ def assign(df: DataFrame, token: Token, table: dict[str, Entry] | None = None, m
     column, kind = token.column, token.segment.kind
     if kind == "S" or (kind == "I" and umi_as_sequence):
         return df.withColumn(f"{column}_id", or_unknown(F.col(column)))
+    some = F.coalesce(F.col(column), F.lit("")) != ""
     if kind == "I":
-        named = ids(df.where(F.coalesce(F.col(column), F.lit("")) != "").select(F.col(column).alias("seq"), F.expr(f"rec div {CHUNK}").alias("chunk")))
+        named = ids(df.where(some).select(F.col(column).alias("seq"), F.expr(f"rec div {CHUNK}").alias("chunk")))
         extra: list[str] = []
     else:
         # Stored: each step of the lookup would otherwise scan the reads again.
-        seen = stored(df.where(F.coalesce(F.col(column), F.lit("")) != "").select(F.col(column).alias("seq")).distinct(), "sequences")
-        named = match(seen, table or {}, mismatches).drop("distance")
+        seen = stored(df.where(some).groupBy(F.col(column).alias("seq")).agg(F.count("*").alias("reads")), "sequences")
+        named = match(seen.select("seq"), table or {}, mismatches).drop("distance").join(seen, "seq")
         extra = ["is_rc"]
-    # Only sequences with a name are here. Few of them are broadcast, so that the reads need no shuffle.
-    named = stored(named, "names")
-    named = _hinted(named, named.count())
-    named = named.withColumnsRenamed({"seq": column, "assigned": f"{column}_id", "is_rc": f"{column}_rc"})
-    joined = df.join(named, column, "left").withColumn(f"{column}_id", F.coalesce(f"{column}_id", F.lit(UNKNOWN)))
-    return joined.select(*df.columns, f"{column}_id", *(f"{column}_rc" for _ in extra))
+    return _back(df, column, stored(named, "names"), extra)
+
+
+def _back(df: DataFrame, column: str, named: DataFrame, extra: list[str]) -> DataFrame:
+    """Names to reads. Only sequences with a name are in ``named``. Few of them are broadcast, so that reads need no shuffle.
+
+    Beyond, only names of popular sequences are; reads that need no other name get a key of their
+    own for the join, so that neither missing tokens nor popular ones meet in one task.
+    """
+    names = {"assigned": f"{column}_id", "is_rc": f"{column}_rc"}
+    added = [names[c] for c in ("assigned", *extra)]
+    own = lambda n, to: n.select(F.col("seq").alias(to), *(F.col(c).alias(names[c]) for c in ("assigned", *extra)))
+    if named.count() <= MOST_BROADCAST:
+        joined = df.join(F.broadcast(own(named, column)), column, "left")
+    else:
+        popular = named.where(F.col("reads") >= POPULAR)  # at most one for so many reads
+        popular = popular if popular.count() <= MOST_BROADCAST else popular.limit(0)
+        rest = own(named.join(F.broadcast(popular.select("seq")), "seq", "left_anti"), "_seq")
+        first = df.join(F.broadcast(own(popular, column)), column, "left")
+        done = F.col(added[0]).isNotNull() | (F.coalesce(F.col(column), F.lit("")) == "")
+        first = first.withColumn("_key", F.when(done, F.concat(F.lit("#"), F.col("rec").cast("string"))).otherwise(F.col(column)))
+        second = first.withColumnsRenamed({c: f"_{c}" for c in added}).join(rest, F.col("_key") == F.col("_seq"), "left")
+        joined = second.withColumns({c: F.coalesce(f"_{c}", c) for c in added})
+    return joined.withColumn(added[0], F.coalesce(added[0], F.lit(UNKNOWN))).select(*df.columns, *added)
 
 
 def annotated_name(name: Column, id_columns: list[str]) -> Column:
     """The name with all ids; a bare underscore where a run has no tokens."""
     return F.concat(name, F.lit("_"), F.concat_ws("_", *id_columns) if id_columns else F.lit(""))
 
-
-TABLE = T.StructType([T.StructField("seq", T.StringType()), T.StructField("name", T.StringType()), T.StructField("is_rc", T.BooleanType())])

@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.operators.storage import stored
+
+#: Copies up to which their numbers are broadcast to the reads.
+MOST_BROADCAST = 500_000
+
 
 def key(columns: list[str]) -> Column:
     """All sequences in a row, without a delimiter, in one case."""
     return F.upper(F.concat(*(F.coalesce(F.col(c), F.lit("")) for c in columns)) if columns else F.lit(""))
 
 
+def plain(key: Column) -> Column:
+    """Only such keys can be duplicates."""
+    return key.rlike(r"^[ACGTN]*\z")
+
+
 def flag_duplicates(df: DataFrame, columns: list[str], to: str = "duplicate", rec: str = "rec") -> DataFrame:
     """Adds ``to``. A key with a character outside ACGTN never counts as a duplicate.
 
-    Copies are combined before the shuffle, and the first records come back by their own
-    number, which is unique: a sequence that half of the reads share makes no hot task. Keys
-    travel as 128-bit digests, a tenth of their length.
+    Only record numbers and 128-bit digests of keys are dealt anew. Copies are combined before
+    the shuffle, and the reads that are no first ones are found by their own number, which is
+    unique: a sequence that half of the reads share makes no hot task. Whole reads only move
+    where the copies are too many to be broadcast.
     """
-    keyed = df.withColumn("_key", key(columns)).withColumn("_plain", F.col("_key").rlike(r"^[ACGTN]*\z"))
-    first = keyed.where("_plain").groupBy(F.unhex(F.md5("_key")).alias("_digest")).agg(F.min(rec).alias(rec)).select(rec, F.lit(True).alias("_first"))
-    return keyed.join(first, rec, "left").select(*df.columns, (F.col("_plain") & F.col("_first").isNull()).alias(to))
+    keys = df.select(rec, key(columns).alias("_key")).where(plain(F.col("_key"))).select(rec, F.unhex(F.md5("_key")).alias("_digest"))
+    keys = stored(keys, "digests")
+    first = keys.groupBy("_digest").agg(F.min(rec).alias(rec)).select(rec)
+    copies = stored(keys.select(rec).join(first, rec, "left_anti").select(rec, F.lit(True).alias(to)), "copies")
+    copies = F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies
+    return df.drop(to).join(copies, rec, "left").withColumn(to, F.coalesce(to, F.lit(False)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readloom.functions import iupac
 from readloom.plans.demux import DemuxConfig
 from readloom.plans.design import SIDES, Design
+from readloom.sources import fastq
 
 LAYOUT = "design string, token int, first int, last int, width int, kind string, alternatives string"
 _KINDS = {"L": "lookup", "I": "include", "X": "exclude", "S": "fixed"}
@@ -39,8 +41,11 @@ def lookup_lines(text: str) -> int:
 
 
 def check_design(config: DemuxConfig, sides: dict[str, DataFrame], records: int = 3) -> str:
-    """``sides``: r1, r2, i1 and i2 as far as given, with rec and seq (or, from headers, an index column)."""
+    """``sides``: r1, r2, i1 and i2 as far as given. With indexes in the headers, those of read 1 stand for i1 and i2."""
     config.require_lookup()
+    if config.indexes_in_header and "r1" in sides:
+        found, _ = fastq.header_indexes(F.col("name"), F.col("comment"))
+        sides = sides | {f"i{i + 1}": sides["r1"].select("rec", F.coalesce(F.get(found, F.lit(i)), F.lit("")).alias("seq")) for i in range(2)}
     out: list[str] = []
     for name, design in config.designs().items():
         if not design:

@@ -1,12 +1,12 @@
 """The whole run: from aligned records to routed ones, with all tables.
 
-The order of steps for a read is fixed: barcode trimming, names, duplicates, adapter,
+The order of steps for a read is fixed: barcode trimming, duplicates, names, adapter,
 quality and poly-G trimming, length, counting, routing.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +88,6 @@ class Result:
     config: DemuxConfig
     tokens: list[Token]
     processed: DataFrame
-    index_tokens: list[Token] = field(default_factory=list)
 
     @property
     def id_columns(self) -> list[str]:
@@ -103,16 +102,14 @@ class Result:
 
     def records(self) -> DataFrame:
         """file, rec, text of every written record."""
-        c, out = self.config, None
+        c, out = self.config, []
         tags = [f"{t.column}_id" for t in resolve(c.split_on, c.designs())]
         tags = [t for t in tags if t in self.processed.columns]
-        w = self.written()
         for mate, base in ((1, c.base1), (2, c.base2))[: 2 if self.has_read2 else 1]:
             s = f"r{mate}"
             text = route.record(F.col("name_out"), F.col(f"{s}_comment"), F.col(f"{s}_mate"), F.col(f"{s}_seq"), F.col(f"{s}_plus"), F.col(f"{s}_qual"))
-            own = w.select(route.file_name(c.prefix or base, F.col("destination"), tags, mate, c.global_rejected).alias("file"), "rec", text.alias("text"))
-            out = own if out is None else out.unionByName(own)
-        return out
+            out.append(F.struct(route.file_name(c.prefix or base, F.col("destination"), tags, mate, c.global_rejected).alias("file"), text.alias("text")))
+        return self.written().select("rec", F.explode(F.array(*out)).alias("x")).select("x.file", "rec", "x.text")
 
     def barcodes(self) -> dict[str, DataFrame]:
         """Tables of all tokens: Index_Sequence_1, ..., Read_Sequence_1, ..."""
@@ -166,14 +163,15 @@ def demultiplex(wide: DataFrame, config: DemuxConfig, keep: bool = True) -> Resu
     if not config.reject_fixed:
         df = df.withColumn("rejected", F.lit(False))
     used = tokens(designs)
-    table = lookup.by_token(lookup.parse(config.lookup), designs) if config.lookup is not None else {}
-    for t in used:
-        df = assign.assign(df, t, table.get(t), config.max_mismatches, config.umi_as_sequence)
-    df = df.withColumn("name_out", assign.annotated_name(F.col("name"), [f"{t.column}_id" for t in used]))
+    # Before the names: the keys are sequences, so that only slices are evaluated to find copies.
     if config.deduplicate:
         df = dedup.flag_duplicates(df, [*token_columns(df, designs), "r1_seq", *(["r2_seq"] if has_read2 else [])])
     else:
         df = df.withColumn("duplicate", F.lit(False))
+    table = lookup.by_token(lookup.parse(config.lookup), designs) if config.lookup is not None else {}
+    for t in used:
+        df = assign.assign(df, t, table.get(t), config.max_mismatches, config.umi_as_sequence)
+    df = df.withColumn("name_out", assign.annotated_name(F.col("name"), [f"{t.column}_id" for t in used]))
     for side, adapter in (("r1", config.adapter_r1), ("r2", config.adapter_r2 if has_read2 else "")):
         df = trim.trim_side(df, side, adapter, config.overlap_diff_limit, config.overlap_require, config.diff_fraction, config.trim_quality, config.min_stretch_g)
     df = df.withColumn("destination", route.destination(F.col("duplicate"), F.col("rejected"), config.global_rejected))

@@ -10,19 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.functions import iupac, quality
-from readloom.operators import assign, dedup, stats, trim
+from readloom.functions import dna_codec, iupac, quality
+from readloom.operators import assign, dedup, route, stats, trim
 from readloom.operators.align import align
-from readloom.operators.storage import stored
+from readloom.operators.storage import ranked, scratch_path, stored
 from readloom.operators.tokens import slice_tokens
 from readloom.plans import check
 from readloom.plans.demux import DemuxConfig, Result, demultiplex, header_index_columns
 from readloom.plans.design import parse, tokens
-from readloom.sources import fastq, lookup
+from readloom.sources import fastq, lookup, sink
 
 ADAPTER = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
 DESIGN = "4X|GATC*GGTC|8L|6I"
 PREFIX = "run"
+#: Bases of the longest made read: tokens, insert and tail.
+LONGEST = 22 + 24 + 33
 
 
 def dna(salt: str, key: str) -> str:
@@ -113,10 +115,14 @@ def fixed_barcode_reject(spark, sf_dir):
     return _sliced(spark, sf_dir).select("rec", "rejected")
 
 
+def _with_header_indexes(spark, sf_dir):
+    """Reads without a comment have the indexes in their names."""
+    wide = align(read1(spark, sf_dir))
+    return wide.withColumn("name", F.when(F.col("r1_comment") == "", F.concat("name", F.lit(":0_ACGTACGT+TTGCAACT"))).otherwise(F.col("name")))
+
+
 def header_index_extract(spark, sf_dir):
-    wide = align(read1(spark, sf_dir).where("rec % 2 = 1 or comment <> ''"))
-    named = wide.withColumn("name", F.when(F.col("r1_comment") == "", F.concat("name", F.lit(":0_ACGTACGT+TTGCAACT"))).otherwise(F.col("name")))
-    found = header_index_columns(named, DemuxConfig(bc_index1="8I", bc_index2="8I", indexes_in_header=True))
+    found = header_index_columns(_with_header_indexes(spark, sf_dir), DemuxConfig(bc_index1="8I", bc_index2="8I", indexes_in_header=True))
     return found.select("rec", "name", F.col("i1_seq").alias("index1"), F.col("i2_seq").alias("index2"), F.col("i1_qual").alias("quality1"))
 
 
@@ -251,8 +257,7 @@ def barcode_table(spark, sf_dir):
 
 
 def avg_quality(spark, sf_dir):
-    width = 16
-    means = reads(spark, sf_dir).groupBy((F.col("rec") % 10).alias("part")).agg(quality.mean_scores(F.col("qual"), width).alias("m"))
+    means = reads(spark, sf_dir).groupBy((F.col("rec") % 10).alias("part")).agg(quality.mean_scores(F.col("qual"), LONGEST).alias("m"))
     return means.select("part", F.posexplode("m").alias("position", "mean")).select("part", F.col("position").cast("long").alias("position"), "mean")
 
 
@@ -295,12 +300,94 @@ def sorted_barcodes(spark, sf_dir):
     return stats.by_count(t, "seq")
 
 
+def _written(spark, sf_dir):
+    """The made reads as gzip FASTQ files, in order, several tasks and files."""
+    folder = scratch_path(spark, "fastq")
+    wide = align(read1(spark, sf_dir))
+    text = route.record(F.col("name"), F.col("r1_comment"), F.col("r1_mate"), F.col("r1_seq"), F.col("r1_plus"), F.col("r1_qual"))
+    sorted_ = wide.select("rec", text.alias("value")).repartitionByRange(4, "rec").sortWithinPartitions("rec")
+    sorted_.select("value").write.option("compression", "gzip").option("lineSep", "\n").text(folder)
+    return folder
+
+
+def fastq_scan(spark, sf_dir):
+    """Several gzip files written and scanned: place of each record over all files, and its parts."""
+    scanned = fastq.read(spark, _written(spark, sf_dir))
+    return ranked(scanned, ["rec"], "place").select("place", "name", "comment", F.col("mate").cast("long").alias("mate"), "seq", "plus", "qual")
+
+
+def fastq_roundtrip(spark, sf_dir):
+    """A run written to gzip files and read back: the records of every file in their order."""
+    paths = sink.write_fastq(run(spark, sf_dir).records(), scratch_path(spark, "written"))
+    names = spark.createDataFrame([(i, p.rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "number long, file string")
+    back = fastq.read(spark, ",".join(paths)).withColumn("number", F.shiftright("rec", fastq.FILE_SHIFT))
+    place = F.col("rec").bitwiseAND((1 << fastq.FILE_SHIFT) - 1) + 1
+    text = F.concat_ws("\n", F.concat_ws(" ", "name", "comment"), "seq", "plus", "qual")
+    return back.join(F.broadcast(names), "number").select("file", place.alias("place"), text.alias("text"))
+
+
+def _index_file(spark, sf_dir, salt, of, n):
+    return reads(spark, sf_dir).select("rec", "name", F.lit("").alias("comment"), F.lit(1).alias("mate"), F.expr(f"substr({dna(salt, f'rec % {of}')}, 1, {n})").alias("seq"), F.lit("+").alias("plus"), F.repeat(F.lit("I"), F.lit(n)).alias("qual"))
+
+
+def index_pair(spark, sf_dir):
+    """Two index files by position, to reads by name."""
+    wide = align(read1(spark, sf_dir), index1=_index_file(spark, sf_dir, "i1", 40, 8), index2=_index_file(spark, sf_dir, "i2", 30, 10))
+    return wide.select("rec", F.col("i1_seq").alias("index1"), F.col("i2_seq").alias("index2"))
+
+
+def index_files_run(spark, sf_dir):
+    """A run with two index files: their tokens come first in names and tags."""
+    wide = align(read1(spark, sf_dir), index1=_index_file(spark, sf_dir, "i1", 40, 8), index2=_index_file(spark, sf_dir, "i2", 30, 10))
+    more = {"bc_index1": "8I", "bc_index2": "4X|6I", "split_on": "bcRead1-t3|bcIndex2-t2", "deduplicate": False, "adapter_r1": ""}
+    return demultiplex(wide, config(spark, sf_dir, **more), keep=False).records()
+
+
+def header_run(spark, sf_dir):
+    """A run with the indexes in the headers."""
+    more = {"bc_index1": "8I", "bc_index2": "2X|6I", "indexes_in_header": True, "deduplicate": False, "adapter_r1": ""}
+    return demultiplex(_with_header_indexes(spark, sf_dir), config(spark, sf_dir, **more), keep=False).records()
+
+
+def paired_run(spark, sf_dir):
+    """A run of pairs with tokens in both mates; copies are told by all tokens and both mates."""
+    more = {"bc_read2": "6I|4X", "adapter_r1": "", "split_on": "bcRead2-t1|bcRead1-t3"}
+    return demultiplex(align(read1(spark, sf_dir), read2(spark, sf_dir)), config(spark, sf_dir, **more), keep=False).records()
+
+
+def untrimmed_run(spark, sf_dir):
+    """Barcodes stay in the reads: adapters, qualities and copies are taken on whole reads."""
+    return run(spark, sf_dir, trim_barcodes=False, reject_fixed=False).records()
+
+
+def index_length(spark, sf_dir):
+    """Indexes have to be exactly as long as their design; each slice of them."""
+    wide = align(read1(spark, sf_dir), index1=_index_file(spark, sf_dir, "i1", 40, 12))
+    cut = slice_tokens(wide, {"bcIndex1": parse("3L|2X|NNNN*ACGT|3I")})
+    return cut.select("rec", F.col("i1_t1").alias("first"), F.col("i1_t3").alias("fixed"), F.col("i1_t4").alias("last"), "rejected")
+
+
+def design_preview(spark, sf_dir):
+    """The dry run's lines for the first records."""
+    cfg = DemuxConfig(bc_read1=DESIGN, lookup=lookup_text(spark, sf_dir))
+    lines = check.check_design(cfg, {"r1": read1(spark, sf_dir)}).split("\n")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line long, said string")
+
+
+def packed_keys(spark, sf_dir):
+    """Sequences packed and unpacked: case is folded, nothing else changes."""
+    pack = F.udf(lambda x: dna_codec.encode(x).hex())  # a plain function of the library, called for each distinct sequence
+    unpack = F.udf(lambda x: dna_codec.decode(bytes.fromhex(x)))
+    seen = reads(spark, sf_dir).select(F.when(F.col("rec") % 3 == 0, F.lower("seq2")).otherwise(F.col("seq2")).alias("seq")).distinct()
+    return seen.withColumn("packed", pack("seq")).select("seq", (F.length("packed") / 2).cast("long").alias("n_bytes"), unpack("packed").alias("unpacked"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         flagship_demux, synth_reads, token_slice, token_trim, fixed_barcode_reject, header_index_extract, name_normalise, reverse_complement, lookup_orientation, lookup_exact, lookup_iupac, lookup_mismatch, lookup_scoped, lookup_min_distance,
         paired_align, index_left_join, umi_as_sequence, umi_ids, header_annotate, fastq_record, dedup_flag, dedup_case_invalid, adapter_trim, quality_trim, polyg_trim, trim_pipeline, length_filter, route_destination, route_global_rejected,
-        output_filename, barcode_table, avg_quality, combinations, read_lengths, read_statistics, stats_long, orientation_diagnostics, top_unassigned, design_layout, sorted_barcodes,
+        output_filename, fastq_scan, fastq_roundtrip, index_pair, index_files_run, header_run, paired_run, untrimmed_run, index_length, design_preview, packed_keys, barcode_table, avg_quality, combinations, read_lengths, read_statistics, stats_long, orientation_diagnostics, top_unassigned, design_layout, sorted_barcodes,
     )
 }
 
@@ -366,7 +453,7 @@ def _oracles() -> dict[str, str]:
         "token_slice": c + "SELECT rec, fixed, barcode, umi, substr(qual, 9, 8) AS barcode_qual FROM t",
         "token_trim": c + "SELECT rec, rest AS seq, restq AS qual FROM t",
         "fixed_barcode_reject": c + "SELECT rec, NOT regexp_matches(fixed, '^(GATC|GGTC)$') AS rejected FROM t",
-        "header_index_extract": c + ", h AS (SELECT rec, comment, CASE WHEN comment = '' THEN name || ':0_ACGTACGT+TTGCAACT' ELSE name END AS name FROM r WHERE rec % 2 = 1 OR comment <> '') SELECT rec, CASE WHEN comment = '' THEN left(name, length(name) - 17) ELSE name END AS name, regexp_extract_all(CASE WHEN comment = '' THEN name ELSE comment END, '[ACGTN]{8}')[1] AS index1, regexp_extract_all(CASE WHEN comment = '' THEN name ELSE comment END, '[ACGTN]{8}')[2] AS index2, 'JJJJJJJJ' AS quality1 FROM h",
+        "header_index_extract": c + ", h AS (SELECT rec, comment, CASE WHEN comment = '' THEN name || ':0_ACGTACGT+TTGCAACT' ELSE name END AS name FROM r) SELECT rec, CASE WHEN comment = '' THEN left(name, length(name) - 17) ELSE name END AS name, regexp_extract_all(CASE WHEN comment = '' THEN name ELSE comment END, '[ACGTN]{8}')[1] AS index1, regexp_extract_all(CASE WHEN comment = '' THEN name ELSE comment END, '[ACGTN]{8}')[2] AS index2, 'JJJJJJJJ' AS quality1 FROM h",
         "name_normalise": f"SELECT rec, CASE rec % 5 WHEN 4 THEN concat('@SRR.', cast(rec as string), ' 1 length=50') ELSE {name5} END AS name, CASE rec % 5 WHEN 0 THEN '1:N:0:AC' WHEN 1 THEN '2:Y:18:' WHEN 3 THEN 'x y' ELSE '' END AS comment, CASE WHEN rec % 5 IN (1, 2) THEN 2 ELSE 1 END AS mate FROM (SELECT o_orderkey AS rec FROM orders)",
         "reverse_complement": c + "SELECT rec, translate(reverse(seq), 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN') AS rc, regexp_matches(seq, '^[ACGTRYSWKMBDHVN]*$') AS valid, CAST(hamming(substr(seq, 1, 8), substr(seq, 9, 8)) AS BIGINT) AS distance FROM r",
         "lookup_orientation": c + "SELECT lseq AS seq, name, is_rc FROM l",
@@ -392,7 +479,7 @@ def _oracles() -> dict[str, str]:
         "route_global_rejected": _chain(1, True) + "SELECT rec, file FROM w",
         "output_filename": c + "SELECT rec, file FROM w",
         "barcode_table": c + barcode,
-        "avg_quality": c + "SELECT rec % 10 AS part, CAST(i - 1 AS BIGINT) AS position, CAST(sum(least(greatest(ascii(substr(qual, i, 1)) - 33, 0), 93)) AS BIGINT) // count(*) AS mean FROM r, range(1, 17) x(i) GROUP BY rec % 10, i",
+        "avg_quality": c + f"SELECT rec % 10 AS part, CAST(i - 1 AS BIGINT) AS position, CAST(sum(least(greatest(ascii(substr(qual, i, 1)) - 33, 0), 93)) AS BIGINT) // count(*) AS mean FROM r, range(1, {LONGEST + 1}) x(i) GROUP BY rec % 10, i",
         "combinations": c + "SELECT concat(fixed, '_', bc, '_', umi) AS combination, count(*) AS count FROM w GROUP BY 1",
         "read_lengths": c + "SELECT CAST(length(r1_seq) AS STRING) AS length, count(*) AS count FROM w GROUP BY 1",
         "read_statistics": c + totals,
@@ -412,7 +499,48 @@ def _oracles() -> dict[str, str]:
         "design_layout": "SELECT * FROM (VALUES ('bcRead1', 1, 1, 4, 4, 'exclude', ''), ('bcRead1', 2, 5, 8, 4, 'fixed', 'GATC*GGTC'), ('bcRead1', 3, 9, 16, 8, 'lookup', ''), ('bcRead1', 4, 17, 22, 6, 'include', '')) v(design, token, first, last, width, kind, alternatives)",
         "sorted_barcodes": c + "SELECT barcode AS seq, count(*) AS count FROM a GROUP BY barcode ORDER BY count DESC, seq",
     }
+    said = "CASE WHEN comment = '' THEN '1:N:0:0' ELSE comment END"
+    out |= {
+        "fastq_scan": c + f"SELECT row_number() OVER (ORDER BY rec) AS place, name, {said} AS comment, CAST(1 AS BIGINT) AS mate, seq, '+' AS plus, qual FROM r",
+        "fastq_roundtrip": c + "SELECT file, row_number() OVER (PARTITION BY file ORDER BY rec) AS place, text FROM w",
+        "index_pair": c + f"SELECT rec, {_index_sql('i1', 40, 8)} AS index1, {_index_sql('i2', 30, 10)} AS index2 FROM r",
+        "index_length": c + f", i AS (SELECT rec, {_index_sql('i1', 40, 12)} AS s FROM r) SELECT rec, substr(s, 1, 3) AS first, substr(s, 6, 4) AS fixed, substr(s, 10, 3) AS last, false AS rejected FROM i",
+        "index_files_run": c + _plain_run(f"{_index_sql('i1', 40, 8)}", f"substr({_index_sql('i2', 30, 10)}, 5, 6)", "name", "concat(i2, '_', bc)"),
+        "header_run": c + _plain_run(f"regexp_extract_all({_HEADER}, '[ACGTN]{{8}}')[1]", f"substr(regexp_extract_all({_HEADER}, '[ACGTN]{{8}}')[2], 3, 6)", "CASE WHEN comment = '' THEN name || ':0_' ELSE name END", "bc"),
+        "paired_run": c + """, pk AS (SELECT *, substr(seq2, 1, 6) AS umi2, substr(seq2, 11) AS rest2, upper(concat(fixed, barcode, umi, substr(seq2, 1, 6), rest, substr(seq2, 11))) AS key2 FROM a),
+pd AS (SELECT *, regexp_matches(key2, '^[ACGTN]*$') AND row_number() OVER (PARTITION BY key2 ORDER BY rec) > 1 AS duplicate FROM pk),
+pm AS (SELECT rec, 1 AS mate, rest AS s, restq AS q, CASE WHEN comment = '' THEN '1:N:0:0' ELSE comment END AS said, * EXCLUDE (rec) FROM pd UNION ALL SELECT rec, 2, rest2, repeat('I', CAST(length(rest2) AS INT)), '2:N:0:0', * EXCLUDE (rec) FROM pd)
+SELECT concat('run_', umi2, '_', bc, '_R', CAST(mate AS STRING), '_', CASE WHEN duplicate THEN 'duplicated' WHEN rejected THEN 'rejected' ELSE 'demultiplexed' END, '.fastq.gz') AS file, rec,
+       concat(name, '_', fixed, '_', bc, '_', umi, '_', umi2, ' ', said, chr(10), s, chr(10), '+', chr(10), q) AS text FROM pm WHERE length(rest) >= 22 AND length(rest2) >= 22""",
+        "untrimmed_run": c + f""", ud AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rec) > 1 AND regexp_matches(key, '^[ACGTN]*$') AS duplicate FROM (SELECT *, upper(concat(fixed, barcode, umi, seq)) AS key FROM a)),
+uo AS {_overlaps("t", "seq")},
+u1 AS (SELECT ud.*, CASE WHEN offs IS NULL THEN length(seq) WHEN offs >= 0 THEN offs ELSE greatest(length(seq) + offs, 0) END AS keep FROM ud LEFT JOIN uo USING (rec)),
+u2 AS (SELECT *, regexp_replace(substr(qual, 1, keep), '[!-4]+$', '') AS q2, substr(seq, 1, keep) AS s1 FROM u1),
+u3 AS (SELECT *, regexp_replace(substr(s1, 1, length(q2)), 'G{{5,}}$', '') AS s3 FROM u2)
+SELECT concat('run_', bc, '_R1_', CASE WHEN duplicate THEN 'duplicated' ELSE 'demultiplexed' END, '.fastq.gz') AS file, rec,
+       concat(name, '_', fixed, '_', bc, '_', umi, ' ', {said}, chr(10), s3, chr(10), '+', chr(10), substr(q2, 1, length(s3))) AS text FROM u3 WHERE length(s3) >= 22""",
+        "design_preview": c + """, f AS (SELECT rec, seq, row_number() OVER (ORDER BY rec) AS k FROM r), first3 AS (SELECT * FROM f WHERE k <= 3),
+head AS (SELECT * FROM (VALUES (0, 'bcRead1: 4X|GATC*GGTC|8L|6I (22 bases)'), (1, '  t1 1-4 (4 bases) exclude'), (2, '  t2 5-8 (4 bases) fixed GATC*GGTC'), (3, '  t3 9-16 (8 bases) lookup'), (4, '  t4 17-22 (6 bases) include'), (20, 'lookup table: 25 lines')) v(line, said)),
+body AS (SELECT 5 * k + i AS line, CASE i WHEN 0 THEN substr(seq, 1, 60) || CASE WHEN length(seq) > 60 THEN '...' ELSE '' END WHEN 1 THEN '  t1 ' || substr(seq, 1, 4)
+                WHEN 2 THEN '  t2 ' || substr(seq, 5, 4) || CASE WHEN substr(seq, 5, 4) IN ('GATC', 'GGTC') THEN '  <- matches' ELSE '  <- NO MATCH' END WHEN 3 THEN '  t3 ' || substr(seq, 9, 8) ELSE '  t4 ' || substr(seq, 17, 6) END AS said FROM first3, range(0, 5) x(i))
+SELECT CAST(line AS BIGINT) AS line, said FROM head UNION ALL SELECT CAST(line AS BIGINT), said FROM body""",
+        "packed_keys": c + ", s AS (SELECT DISTINCT CASE WHEN rec % 3 = 0 THEN lower(seq2) ELSE seq2 END AS seq FROM r) SELECT seq, CAST(length(seq) // 4 + CASE WHEN length(seq) % 4 > 0 THEN 1 ELSE 0 END + 2 AS BIGINT) AS n_bytes, upper(seq) AS unpacked FROM s",
+    }
     return out
 
 
+_HEADER = "CASE WHEN comment = '' THEN name || ':0_ACGTACGT+TTGCAACT' ELSE comment END"
+
+
+def _index_sql(salt: str, of: int, n: int) -> str:
+    return f"substr({dna(salt, f'rec % {of}')}, 1, {n})"
+
+
+def _plain_run(index1: str, index2: str, name: str, tags: str) -> str:
+    """A run with two index tokens, without copies and trimming of adapters."""
+    return f""", x AS (SELECT *, {index1} AS i1, {index2} AS i2, {name} AS named FROM a)
+SELECT concat('{PREFIX}_', {tags}, '_R1_', CASE WHEN rejected THEN 'rejected' ELSE 'demultiplexed' END, '.fastq.gz') AS file, rec,
+       concat(named, '_', i1, '_', i2, '_', fixed, '_', bc, '_', umi, ' ', CASE WHEN comment = '' THEN '1:N:0:0' ELSE comment END, chr(10), rest, chr(10), '+', chr(10), restq) AS text FROM x WHERE length(rest) >= 22"""
+
+
 ORACLE_SQL = _oracles()

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 from readloom.functions import iupac
 from readloom.plans.design import Design, Token, tokens
 
@@ -85,22 +88,53 @@ def by_token(rows: list[Row], designs: dict[str, Design]) -> dict[Token, dict[st
     return out
 
 
-def smallest_distance(table: dict[str, Entry], most: int = 5_000) -> tuple[int, str, str] | None:
-    """The smallest literal distance between entries of different names; None for too few or too many entries."""
-    items = sorted(table.items())
-    if not 2 <= len(items) <= most:
-        return None
-    pairs = ((iupac.hamming_py(a, b), a, b) for i, (a, x) in enumerate(items) for b, y in items[i + 1 :] if len(a) == len(b) and x.name != y.name)
-    return min(pairs, default=None)
-
+def smallest_distance(table: dict[str, Entry]) -> tuple[int, str, str] | None:
+    """The smallest literal distance between entries of one length and different names; None if there are no two.
 
-def density_warning(table: dict[str, Entry], mismatches: int, most: int = 5_000) -> str | None:
+    Two sequences that differ in d places agree in one of d + 1 blocks, so only entries of
+    equal blocks are compared, for growing d: exact for tables of any size.
+    """
+    best: tuple[int, str, str] | None = None
+    for n in sorted({len(s) for s in table}):
+        items = sorted((s, e.name) for s, e in table.items() if len(s) == n)
+        bases = np.array([list(s.encode()) for s, _ in items], np.uint8).reshape(len(items), n)
+        names = np.unique([name for _, name in items], return_inverse=True)[1]
+        if names.max(initial=0) == 0:
+            continue
+        for d in range(n + 1):
+            if best is not None and d > best[0]:
+                break
+            found = min((x for i in range(d + 1) for x in _closest(bases, names, i * n // (d + 1), (i + 1) * n // (d + 1))), default=None)
+            if found is not None and found[0] <= d:
+                own = (found[0], items[found[1]][0], items[found[2]][0])
+                best = own if best is None else min(best, own)
+                break
+    return best
+
+
+def _closest(bases: np.ndarray, names: np.ndarray, low: int, high: int, most: int = 512) -> Iterator[tuple[int, int, int]]:
+    """The closest pairs of different names among entries whose bases from ``low`` to ``high`` are equal."""
+    order = np.lexsort(bases[:, low:high].T[::-1]) if high > low else np.arange(len(bases))
+    part = bases[order, low:high]
+    ends = np.append(np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1, len(order)) if high > low else np.array([len(order)])
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        group = np.sort(order[a:b])
+        for i in range(0, len(group) if b - a > 1 else 0, most):
+            rows = group[i : i + most]
+            for j in range(i, len(group), most):
+                others = group[j : j + most]
+                apart = (bases[rows][:, None, :] != bases[others][None, :, :]).sum(axis=2)
+                apart = np.where((names[rows][:, None] != names[others][None, :]) & (rows[:, None] < others[None, :]), apart, bases.shape[1] + 1)
+                at = int(apart.argmin())
+                if apart.flat[at] <= bases.shape[1]:
+                    yield int(apart.flat[at]), int(rows[at // len(others)]), int(others[at % len(others)])
+
+
+def density_warning(table: dict[str, Entry], mismatches: int) -> str | None:
     """A warning where barcodes are so close that ``mismatches`` makes assignments ambiguous."""
     if mismatches < 1:
         return None
-    if len(table) > most:
-        return f"{len(table)} entries: distances are not checked"
-    found = smallest_distance(table, most)
+    found = smallest_distance(table)
     if found is None or found[0] > 2 * mismatches:
         return None
-    return f"{found[1]} and {found[2]} differ in {found[0]} bases; at most {(found[0] - 1) // 2} mismatches are safe"
+    return f"{found[1]} and {found[2]} differ in {found[0]} bases; at most {max(0, (found[0] - 1) // 2)} mismatches are safe"

@@ -290,13 +290,110 @@ def test_diagnostics(spark):
     assert [(r["seq"], r["count"]) for r in stats.top_unassigned({"x": counted}).orderBy("place").collect()] == [("CCCCCCCC", 4), ("TTTTTTTT", 4)]
 
 
+def test_many_files(spark, tmp_path, monkeypatch):
+    """Lanes: one task a file, records numbered file by file, mates paired by file."""
+    for mate in (1, 2):
+        for lane in (2, 1, 3):
+            with gzip.open(tmp_path / f"L{lane}_R{mate}.fastq.gz", "wt") as f:
+                f.writelines(f"@l{lane}r{i} {mate}:N:0:AC\n{'ACGT' * lane}\n+\n{'IIII' * lane}\n" for i in range(200 * lane))
+    df = fastq.read(spark, f"{tmp_path}/*_R1.fastq.gz")
+    rows = df.orderBy("rec").collect()
+    assert [r["name"] for r in rows] == [f"@l{n}r{i}" for n in (1, 2, 3) for i in range(200 * n)]
+    assert [r["rec"] for r in rows] == [(n << fastq.FILE_SHIFT) + i for n, k in enumerate((200, 400, 600)) for i in range(k)]
+    given = fastq.read(spark, f"{tmp_path}/L3_R1.fastq.gz,{tmp_path}/L1_R1.fastq.gz")
+    assert [r["name"] for r in given.orderBy("rec").collect()][:601:600] == ["@l3r0", "@l1r0"]
+    wide = align(df, fastq.read(spark, f"{tmp_path}/*_R2.fastq.gz"))
+    assert wide.count() == 1200 and len(fastq.files(spark, str(tmp_path))) == 6
+    (tmp_path / "a b").mkdir()
+    with gzip.open(tmp_path / "a b" / "x y%.fastq.gz", "wt") as f:
+        f.write("@s 1:\nAC\n+\nII\n")
+    assert [r["name"] for r in fastq.read(spark, f"{tmp_path}/a b/x y%.fastq.gz").collect()] == ["@s"]
+    (tmp_path / "plain.fastq").write_text("@p 1:\nAC\n+\nII\n")
+    both = fastq.read(spark, f"{tmp_path}/plain.fastq,{tmp_path}/L1_R1.fastq.gz").orderBy("rec").collect()
+    assert both[0]["name"] == "@p" and both[1]["rec"] == 1 << fastq.FILE_SHIFT and len(both) == 201
+    with gzip.open(tmp_path / "L4_R1.fastq.gz", "wt") as f:
+        f.write("@x 1:\nAC\n")
+    fails(fastq.read(spark, f"{tmp_path}/*_R1.fastq.gz"), "L4_R1.fastq.gz: the last record is cut short")
+    with pytest.raises(ValueError, match="cannot open"):
+        fastq.read(spark, f"{tmp_path}/missing.gz")
+    with pytest.raises(cli.ConfigError, match="as many files"):
+        cli.run(["-r", f"{tmp_path}/L1_R1.fastq.gz,{tmp_path}/L2_R1.fastq.gz", "-R", f"{tmp_path}/L1_R2.fastq.gz", "-o", f"{tmp_path}/o"], spark)
+    argv = ["-r", f"{tmp_path}/L1_R1.fastq.gz,{tmp_path}/L2_R1.fastq.gz", "-R", f"{tmp_path}/L1_R2.fastq.gz,{tmp_path}/L2_R2.fastq.gz", "-o", f"{tmp_path}/o", "-p", "x", "-k", "12", "--statsTSV", "--statsParquet", f"{tmp_path}/stats"]
+    said = cli.run(argv, spark)[1]
+    assert "Reads processed: 600" in said and "Reads written: 0" in said and "Reads a minute" in said and "Peak memory" in said
+    monkeypatch.setattr(cli, "summary", None)  # a failing last step takes all outputs with it
+    with pytest.raises(TypeError):
+        cli.run(argv, spark)
+    assert not list((tmp_path / "o").iterdir()) and not list((tmp_path / "stats").iterdir())
+
+
+def test_loose_indexes_and_unmerged_files(spark, tmp_path):
+    with gzip.open(tmp_path / "r.fastq.gz", "wt") as f, gzip.open(tmp_path / "i.fastq.gz", "wt") as g:
+        f.writelines(f"@r{i} 1:N:0:A\n{INS}\n+\n{'I' * len(INS)}\n" for i in range(6))
+        g.writelines(f"@r{i} 1:N:0:A\n{'ACGT' if i < 3 else 'GGGG'}\n+\nIIII\n" for i in (0, 1, 2, 4))
+    argv = ["-r", f"{tmp_path}/r.fastq.gz", "-i", f"{tmp_path}/i.fastq.gz", "-1", "4I", "-u", "-o", f"{tmp_path}/out", "-d", "bcIndex1-t1", "-p", "x", "--keepQuiet"]
+    with pytest.raises(Exception, match="do not match"):
+        cli.run(argv, spark)
+    _, said = cli.run([*argv, "--looseIndex", "--noMerge", "--statsTSV"], spark)
+    names = {p.name for p in (tmp_path / "out").iterdir() if p.name.endswith(".gz")}
+    assert names == {f"x_{t}_R1_demultiplexed.fastq.gz" for t in ("ACGT", "GGGG", "Un")} and all((tmp_path / "out" / n).is_dir() for n in names)
+    assert (tmp_path / "out" / "x_demux_statistics.tsv").is_dir()
+    with pytest.raises(ValueError, match="3 output files"):
+        cli.run([*argv, "--looseIndex", "--maxFiles", "2", "-o", f"{tmp_path}/other"], spark)
+    header = ["-r", f"{tmp_path}/h.fastq.gz", "-H", "-1", "4I|2X", "-2", "GGRC", "--checkDesign"]
+    with gzip.open(tmp_path / "h.fastq.gz", "wt") as f:
+        f.write(f"@a 1:N:0:ACGTAA+GGAC\n{INS}\n+\n{'I' * len(INS)}\n@b 1:N:0:TTTTAA+GGTC\n{INS}\n+\n{'I' * len(INS)}\n")
+    shown = cli.run(header, spark)[1]
+    assert "t1 ACGT" in shown and "t1 GGAC  <- matches" in shown and "t1 GGTC  <- NO MATCH" in shown
+    short = ["-r", f"{tmp_path}/r.fastq.gz", "-3", "40I", "-u", "-f", "-k", "12", "-o", f"{tmp_path}/s", "--keepQuiet"]
+    assert "Rejected reads: 0" in cli.run(short, spark)[1] and "Rejected reads: 6" in cli.run([*short, "--shortRead", "reject"], spark)[1]
+
+
+def test_names_beyond_a_broadcast(spark, monkeypatch):
+    """Popular, rare, missing and unknown tokens get the same names on both ways."""
+    t = tokens({"bcRead1": parse("4L|4I")})
+    seqs = [r for i in range(40) for r in ["ACGT" + "GGGG"] * 3 + [f"{'ACGT'[i % 4] * 4}{'ACGT'[i % 3] * 2}AC"]] + ["ACG", ""]
+    df = slice_tokens(align(reads(spark, seqs)), {"bcRead1": parse("4L|4I")})
+    table = {"ACGT": lookup.Entry("a", False), "AAAA": lookup.Entry("b", True), "CCCC": lookup.Entry("c", False)}
+    found = []
+    for most, popular in ((50_000, 100_000), (1, 50), (0, 1), (2, 100_000)):
+        monkeypatch.setattr(assign, "MOST_BROADCAST", most)
+        monkeypatch.setattr(assign, "POPULAR", popular)
+        named = assign.assign(assign.assign(df, t[0], table), t[1])
+        assert named.columns == [*df.columns, "r1_t1_id", "r1_t1_rc", "r1_t2_id"]
+        found.append(sorted(map(tuple, named.select("rec", "r1_t1_id", "r1_t1_rc", "r1_t2_id").collect())))
+    assert all(x == found[0] for x in found) and len(found[0]) == len(seqs)
+
+
 def test_stream(spark, tmp_path):
     config = DemuxConfig(bc_read1="8L", lookup=TABLE.replace("bcRead1-t1", "any"), trim_barcodes=True, deduplicate=True, min_length=12)
     seqs = ["ACGTTTAA" + INS, "ACGTTTAA" + INS, "CATGCATG" + INS, "AAAAAAAA" + INS, "ACGT"]
     wide = align(reads(spark, seqs)).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     wide.write.parquet(f"{tmp_path}/in")
-    names = stream.lookup_names(config, spark.createDataFrame([(s[:8],) for s in seqs], "seq string"))
-    out = stream.demultiplex_stream(spark.readStream.schema(wide.schema).parquet(f"{tmp_path}/in"), config, names, arrived="at")
+    names = stream.lookup_names(spark, config, spark.createDataFrame([(s[:8],) for s in seqs], "seq string"))
+    out = stream.demultiplex_stream(spark.readStream.schema(wide.schema).parquet(f"{tmp_path}/in"), config, names, arrived="at").written()
     q = out.writeStream.format("memory").queryName("demuxed").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(120)
-    assert sorted(r["name_out"].split("_")[1] for r in spark.table("demuxed").collect()) == ["BC01", "BC04", "Un"]
+    got = sorted((r["name_out"].split("_")[1], r["destination"]) for r in spark.table("demuxed").collect())
+    assert got == [("BC01", "Duplicate"), ("BC01", "Main"), ("BC04", "Main"), ("Un", "Main")]
+    with pytest.raises(cli.ConfigError, match="arrival"):
+        stream.demultiplex_stream(wide, config, names)
+
+
+def test_paired_stream_equals_the_batch_run(spark, tmp_path):
+    pairs = list(made_pairs(130, 3))
+    pairs += [(f"{n}again", c, x) for n, c, x in pairs[::2]]
+    config = DemuxConfig(bc_read1="GRTC|8L|2I", bc_read2="2I|2X", lookup=TABLE.replace("bcRead1-t1", "bcRead1-t2"), max_mismatches=1, trim_barcodes=True, umi_as_sequence=True, reject_fixed=True, deduplicate=True, adapter_r1=AD, adapter_r2=AD[:20], split_on="bcRead1-t2", prefix="run")
+    sides = [spark.createDataFrame([(i, n, c, m + 1, x[m][0], "+", x[m][1]) for i, (n, c, x) in enumerate(pairs)], READ) for m in (0, 1)]
+    wide = align(*sides).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    for part in range(2):  # two micro-batches: the state outlives the first
+        wide.where(F.col("rec").between(part * 150, 149 if part == 0 else 999)).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    names = stream.lookup_names(spark, config)
+    source = spark.readStream.schema(wide.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = stream.demultiplex_stream(source, config, names, arrived="at").records()
+    q = out.writeStream.format("memory").queryName("paired").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination(240)
+    want = Counter(map(tuple, demultiplex(wide.drop("at"), config).records().collect()))
+    got = Counter(map(tuple, spark.table("paired").collect()))
+    assert sum("duplicated" in f for f, _, _ in want) > 5
+    assert Counter((f, t) for f, _, t in got.elements()) == Counter((f, t) for f, _, t in want.elements())

@@ -75,7 +75,18 @@ def test_table_density():
     table = {"AAAAAAAC": e("x", False), "AAAAAAAG": e("y", False), "AAAAAATT": e("x", False), "CC": e("z", False)}
     assert lookup.smallest_distance(table)[0] == 1 and lookup.smallest_distance({"A": e("x", False)}) is None
     assert "differ in 1" in lookup.density_warning(table, 1) and lookup.density_warning(table, 0) is None
-    assert "not checked" in lookup.density_warning(table, 1, most=3)
+
+
+def test_smallest_distance_is_exact_at_any_size():
+    e, r = lookup.Entry, random.Random(2)
+    for size, alphabet in ((30, "ACGTN"), (200, "ACGT"), (6_000, "ACGT")):
+        table = {"".join(r.choice(alphabet) for _ in range(r.choice([9, 10]) if size < 1000 else 14)): e(f"n{r.randrange(size)}", False) for _ in range(size)}
+        if size < 1000:
+            want = min((iupac.hamming_py(a, b), a, b) for a in table for b in table if a < b and len(a) == len(b) and table[a].name != table[b].name)
+            assert lookup.smallest_distance(table) == want
+    near = "ACGTACGTACGTAC"
+    table |= {near: e("x", False), near[:-1] + "G": e("y", False)}
+    assert lookup.smallest_distance(table)[0] == 1 and "differ in 1" in lookup.density_warning(table, 1)
 
 
 def test_config_errors():
