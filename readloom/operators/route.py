@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,30 @@ def file_name(base: Column | str, to: Column, tags: list[str], mate: int, global
     return F.when(F.lit(global_rejected) & (to == "Rejected"), F.concat_ws("_", base, end)).otherwise(tagged)
 
 
+@dataclass(frozen=True)
+class OutputName:
+    """One output file's name outside of a table, to be edited tag by tag; ``file_name`` is the same for rows."""
+
+    folder: str
+    base: str
+    tags: tuple[str, ...] = ()
+
+    def tagged(self, tag: str, at: int | None = None) -> OutputName:
+        """With one tag more, at the end or at a place."""
+        at = len(self.tags) if at is None else at
+        return replace(self, tags=(*self.tags[:at], tag, *self.tags[at:]))
+
+    def without(self, tag: str | int) -> OutputName:
+        """Without a tag, told by its place or by its name (wherever it comes)."""
+        return replace(self, tags=tuple(t for i, t in enumerate(self.tags) if (i if isinstance(tag, int) else t) != tag))
+
+    def edited(self, at: int, tag: str) -> OutputName:
+        return replace(self, tags=(*self.tags[:at], tag, *self.tags[at + 1 :]))
+
+    def path(self, mate: int, to: str = "Main") -> str:
+        return f"{self.folder.rstrip('/')}/{'_'.join([self.base, *self.tags, f'R{mate}', SUFFIXES[to]])}.fastq.gz"
+
+
 def record(name: Column, comment: Column, mate: Column, seq: Column, plus: Column, qual: Column) -> Column:
     """The four lines of a record; an empty comment becomes ``<mate>:N:0:0``."""
     said = F.when(F.coalesce(comment, F.lit("")) == "", F.concat(mate.cast("string"), F.lit(":N:0:0"))).otherwise(comment)

@@ -56,6 +56,12 @@ def by_count(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.desc("count"), key)
 
 
+def listing(table: DataFrame, most: int = 20) -> str:
+    """The most frequent barcodes of a table as text: sequence, name and count."""
+    rows = by_count(table, "seq").limit(most).select("seq", "assigned", "count").collect()
+    return "\n".join(f"{r['seq']}\t{r['assigned']}\t{r['count']}" for r in rows)
+
+
 def orientation(table: DataFrame) -> DataFrame:
     """One row for a looked-up token: shares of assigned reads as given and reverse complemented, and of unassigned ones of all."""
     known = F.col("assigned") != "Un"

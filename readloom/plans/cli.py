@@ -77,6 +77,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[Result | No
     try:
         with contextlib.nullcontext() if o.keepQuiet else progress(spark):
             wide = align(sides["r1"], sides.get("r2"), sides.get("i1"), sides.get("i2"), config.strict_index)
+            if config.deduplicate or any(s.kind in "LI" for d in config.designs().values() for s in d.segments):
+                wide = storage.stored(wide, "aligned")  # else every token and the keys would parse the files again
             result = demultiplex(wide, config)
             made += sink.write_fastq(result.records(), folder, not o.noMerge, o.maxFiles)
             if o.statsTSV:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import iupac, quality
-from readloom.operators import assign, dedup, stats, storage, trim
+from readloom.operators import assign, dedup, route, stats, storage, trim
 from readloom.operators.align import align
 from readloom.operators.tokens import slice_tokens
 from readloom.plans import cli
@@ -103,6 +103,20 @@ def test_ids_are_numbered_by_chunk_and_sequence(spark):
     assert all(r["k"] == r["v"] + 1 for r in many)
 
 
+def test_output_names(spark):
+    name = route.OutputName("out/", "run").tagged("b").tagged("a", 0).tagged("x")
+    assert name.tags == ("a", "b", "x") and name.without("x").without(0).tags == ("b",) and name.edited(1, "y").tags == ("a", "y", "x")
+    df = spark.createDataFrame([("a", "b", "x", d) for d in route.SUFFIXES], "t1 string, t2 string, t3 string, d string")
+    got = [r[0] for r in df.select(route.file_name("run", F.col("d"), ["t1", "t2", "t3"], 2)).collect()]
+    assert [name.path(2, d) for d in route.SUFFIXES] == [f"out/{x}" for x in got]
+
+
+def test_copies_are_found_without_moving_reads(spark):
+    df = spark.range(1000).selectExpr("id AS rec", "concat('ACGT', cast(id % 7 as string)) AS a", "repeat('x', 500) AS other")
+    plan = dedup.flag_duplicates(df.withColumn("a", F.translate("a", "0123456", "ACGTACG")), ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_duplicates(spark):
     got = lambda rows, c: [r["duplicate"] for r in dedup.flag_duplicates(spark.createDataFrame(rows, "rec long, a string, b string"), c).orderBy("rec").collect()]
     assert got([(0, "ACGT", ""), (1, "acgt", ""), (2, "ACGR", ""), (3, "ACGR", ""), (4, None, None), (5, "", "")], ["a"]) == [False, True, False, False, False, True]
@@ -285,6 +299,7 @@ def test_diagnostics(spark):
     table = {"ACGTTTAA": lookup.Entry("a", False), "GACCGGTT": lookup.Entry("b", True)}
     df = assign.assign(slice_tokens(align(reads(spark, ["ACGTTTAA"] + ["GACCGGTT"] * 3 + ["TTTTTTTT"] * 4 + ["CCCCCCCC"] * 4)), {"bcRead1": parse("8L")}), t, table)
     counted = stats.barcode_table(df, t)
+    assert stats.listing(counted, 2) == "CCCCCCCC\tUn\t4\nTTTTTTTT\tUn\t4"
     row = stats.orientation(counted).first()
     assert (row["pct_sense"], row["pct_rc"], round(row["pct_unassigned"], 3), row["note"]) == (25.0, 75.0, 66.667, "mixed")
     assert [(r["seq"], r["count"]) for r in stats.top_unassigned({"x": counted}).orderBy("place").collect()] == [("CCCCCCCC", 4), ("TTTTTTTT", 4)]
