@@ -44,7 +44,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SEGMENT = [T.StructField("segment", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("bounds", "hashes", "words")), T.StructField("n_words", T.LongType())]
 BLOCK = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("packed", T.BooleanType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-ANSWER = T.StructType([T.StructField("segment", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("packed", T.BooleanType()), T.StructField("totals", T.BinaryType())])
+ANSWER = T.StructType([T.StructField("segment", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("packed", T.BooleanType()), T.StructField("totals", T.BinaryType()), T.StructField("grams", T.BinaryType())])
 
 
 def _pieces(values: np.ndarray, ends: np.ndarray, packed: bool) -> pa.Array:
@@ -204,11 +204,17 @@ def count_and_join(table: pa.Table) -> pa.Table:
     """One partition of the count tables: sums each n-gram and gives every sender its n-grams' totals."""
     packed, grams, counts = (table.column(c).to_pylist() for c in ("packed", "grams", "counts"))
     keys = [np.cumsum(unpack(g), dtype=np.uint64) if p else np.frombuffer(g, "<u8") for g, p in zip(grams, packed, strict=True)]
-    _, _, which = runs(np.concatenate(keys), inverse=True)
-    totals = np.bincount(which, weights=np.concatenate([_whole(c, p) for c, p in zip(counts, packed, strict=True)])).astype(np.uint64)[which]
+    grams_, _, which = runs(np.concatenate(keys), inverse=True)
+    sums = np.bincount(which, weights=np.concatenate([_whole(c, p) for c, p in zip(counts, packed, strict=True)])).astype(np.uint64)
+    totals = sums[which]
     ends = np.cumsum([len(k) for k in keys])
     answers = [pack(totals[e - len(k) : e]) if p else totals[e - len(k) : e].tobytes() for e, k, p in zip(ends, keys, packed, strict=True)]
-    return table.select(["segment", "round", "bucket", "packed"]).append_column("totals", pa.array(answers, pa.binary()))
+    none = pa.nulls(len(answers), pa.binary())
+    found = table.select(["segment", "round", "bucket", "packed"]).append_column("totals", pa.array(answers, pa.binary())).append_column("grams", none)
+    # The partition itself, without a segment; what came once is found nowhere else and left out.
+    often = sums > 1
+    own = [pa.array([None], pa.int64()), table.column("round").slice(0, 1).combine_chunks(), table.column("bucket").slice(0, 1).combine_chunks(), pa.array([True]), pa.array([pack(sums[often])], pa.binary()), pa.array([pack(np.diff(grams_[often], prepend=np.uint64(0)))], pa.binary())]
+    return pa.concat_tables([found, pa.table(own, ANSWER.names)])
 
 
 def score_segment(row: dict, order: int, total_words: int, backoff: float) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,21 +243,40 @@ def score_segment(row: dict, order: int, total_words: int, backoff: float) -> tu
     return row["doc_ids"], sizes, np.bincount(rows, weights=score, minlength=len(sizes)), found
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_words, log_score (sum), mean_log_score, and found_n: words found by an n-gram of that length."""
+def _joined(docs: DataFrame, order: int, doc_id: str, text: str, segment_words: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """The segments with their n-grams' counts, the stored count tables and answers, and the words of the corpus."""
     cut = segments(docs, doc_id, text, segment_words)
     words = cut.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, -(-words * 6 // bucket_bytes))
-    names = cut.columns
-    listed = T.ArrayType(T.StructType(ANSWER.fields[1:]))
-    known, joined = None, cut.withColumn("answers", F.array().cast(listed))
+    names, sent = cut.columns, [c for c in ANSWER.names[1:] if c != "grams"]
+    none = F.array().cast(T.ArrayType(T.StructType([ANSWER[c] for c in sent])))
+    known, joined = None, cut.withColumn("answers", none)
     for number in range(len(rounds(order))):
         blocks = joined.mapInArrow(_blocks(order, buckets, number), BLOCK)
         answers = stored(blocks.groupBy("round", "bucket").applyInArrow(count_and_join, ANSWER), "counts")
         known = answers if known is None else known.unionByName(answers)
-        gathered = known.groupBy("segment").agg(F.collect_list(F.struct(*ANSWER.names[1:])).alias("answers"))
-        joined = cut.join(gathered, "segment", "left").select(*names, F.coalesce("answers", F.array().cast(listed)).alias("answers"))
-    kind = cut.schema["doc_ids"].dataType.elementType
+        gathered = known.where(F.col("segment").isNotNull()).groupBy("segment").agg(F.collect_list(F.struct(*sent)).alias("answers"))
+        joined = cut.join(gathered, "segment", "left").select(*names, F.coalesce("answers", none).alias("answers"))
+    return joined, known, words
+
+
+def count_tables(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The count tables: round (0: words and pairs), bucket (the partition), gram (hash) and total, of n-grams that came twice or more."""
+    _, known, _ = _joined(docs, order, doc_id, text, segment_words, bucket_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                grams = np.cumsum(unpack(r["grams"]), dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), r["round"], np.int32)), pa.array(np.full(len(grams), r["bucket"], np.int64)), pa.array(grams), pa.array(unpack(r["totals"]).astype(np.int64))], ["round", "bucket", "gram", "total"])
+
+    return known.where(F.col("segment").isNull()).select("round", "bucket", "grams", "totals").mapInArrow(run, "round int, bucket long, gram long, total long")
+
+
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_words, log_score (sum), mean_log_score, and found_n: words found by an n-gram of that length."""
+    joined, _, words = _joined(docs, order, doc_id, text, segment_words, bucket_bytes)
+    kind = joined.schema["doc_ids"].dataType.elementType
     shape = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType()), *(T.StructField(f"found_{n}", T.LongType()) for n in range(1, order + 1))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -173,6 +173,10 @@ def test_blocks_are_no_more_than_n_grams(spark, monkeypatch):
         assert sorted((x["doc_id"], round(x["log_score"], 6)) for x in got) == want
     cut = language_model.segments(df, most=200)
     empty = cut.selectExpr("*", "cast(array() as array<struct<round:int,bucket:bigint,packed:boolean,totals:binary>>) AS answers")
+    whole = Counter(g for _, t in rows for w in [t.split()] for g in [*w, *zip(w, w[1:])])
+    for size in (4 << 20, 1):
+        counted = language_model.count_tables(df, segment_words=200, bucket_bytes=size).where("round = 0")
+        assert Counter(r["total"] for r in counted.collect()) == Counter(n for n in whole.values() if n > 1)
     blocks = empty.mapInArrow(language_model._blocks(3, 1 << 30, 0), language_model.BLOCK).count()
     assert blocks <= sum(len({*t.split(), *zip(t.split(), t.split()[1:])}) for _, t in rows)
 
