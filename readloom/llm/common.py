@@ -7,6 +7,7 @@ a lost executor never takes an intermediate result with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.operators.storage import scratch_path, stored
 
-__all__ = ["private", "scratch_path", "sliced", "stored", "table"]
+__all__ = ["private", "scratch_path", "sliced", "small_batches", "stored", "table"]
 
 #: Rows and bytes of text that a Python worker works on at once.
 BATCH_ROWS = 512
@@ -40,6 +41,19 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, rows: int | None = None
             upto = min(n, at + rows, max(at + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of at most so many bytes, or one row, for what is run inside; for rows that are large by themselves."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def private(df: DataFrame, *names: str) -> list[str]:

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import sliced, stored
+from readloom.llm.common import sliced, small_batches, stored
 from readloom.llm.words import IDENTITY, NOT_SPACE, mix, pack, split, unpack
 
 ORDER, BACKOFF = 3, 0.4
 #: Words of a segment (a longer text is a segment of its own) and bytes of text behind one partition of the tables.
-SEGMENT_WORDS, BUCKET_BYTES = 1_000_000, 16 << 20
+SEGMENT_WORDS, BUCKET_BYTES = 1_000_000, 4 << 20
 #: Blocks of fewer n-grams on average are sent as they are: packing each would cost more than it saves.
 LEAST_PACKED = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -253,7 +253,8 @@ def _joined(docs: DataFrame, order: int, doc_id: str, text: str, segment_words:
     known, joined = None, cut.withColumn("answers", none)
     for number in range(len(rounds(order))):
         blocks = joined.mapInArrow(_blocks(order, buckets, number), BLOCK)
-        answers = stored(blocks.groupBy("round", "bucket").applyInArrow(count_and_join, ANSWER), "counts")
+        with small_batches(docs.sparkSession):
+            answers = stored(blocks.groupBy("round", "bucket").applyInArrow(count_and_join, ANSWER), "counts")
         known = answers if known is None else known.unionByName(answers)
         gathered = known.where(F.col("segment").isNotNull()).groupBy("segment").agg(F.collect_list(F.struct(*sent)).alias("answers"))
         joined = cut.join(gathered, "segment", "left").select(*names, F.coalesce("answers", none).alias("answers"))
@@ -285,4 +286,5 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id:
                 ids, sizes, sums, found = score_segment(row, order, words, backoff)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums), pa.array(sums / np.maximum(sizes, 1)), *(pa.array(found[:, n]) for n in range(order))], shape.names)
 
-    return joined.mapInArrow(run, shape)
+    with small_batches(docs.sparkSession):  # a few numbers for each document
+        return stored(joined.mapInArrow(run, shape), "scores")
