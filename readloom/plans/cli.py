@@ -8,6 +8,7 @@ import resource
 import sys
 import threading
 import time
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -71,9 +72,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[Result | No
     sides = {s: fastq.read(spark, ",".join(x)) for s, x in given.items()}
     if o.checkDesign:
         return None, check_design(config, sides)
-    config.validate("r2" in sides, "i1" in sides or "i2" in sides)
+    config.validate("r2" in sides, bool(o.index1File or o.index2File))
     folder, began, made = o.outputDir.rstrip("/"), time.monotonic(), []
-    store = sink.Store(spark, folder)
+    store, tag = sink.Store(spark, folder), f"readloom-{uuid.uuid4().hex}"
+    spark.sparkContext.addJobTag(tag)
     try:
         with contextlib.nullcontext() if o.keepQuiet else progress(spark):
             wide = align(sides["r1"], sides.get("r2"), sides.get("i1"), sides.get("i2"), config.strict_index)
@@ -90,10 +92,12 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[Result | No
                     df.write.mode("overwrite").parquet(made[-1])
             return result, summary(result, o.keepQuiet, time.monotonic() - began)
     except BaseException:  # a failed or interrupted run leaves no outputs
-        spark.sparkContext.cancelAllJobs()
+        spark.sparkContext.cancelJobsWithTag(tag)
         for path in made:
             store.delete(path)
         raise
+    finally:
+        spark.sparkContext.removeJobTag(tag)
 
 
 @contextlib.contextmanager

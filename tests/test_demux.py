@@ -360,6 +360,8 @@ def test_loose_indexes_and_unmerged_files(spark, tmp_path):
         f.write(f"@a 1:N:0:ACGTAA+GGAC\n{INS}\n+\n{'I' * len(INS)}\n@b 1:N:0:TTTTAA+GGTC\n{INS}\n+\n{'I' * len(INS)}\n")
     shown = cli.run(header, spark)[1]
     assert "t1 ACGT" in shown and "t1 GGAC  <- matches" in shown and "t1 GGTC  <- NO MATCH" in shown
+    with pytest.raises(cli.ConfigError, match="not from both"):
+        cli.run(["-r", f"{tmp_path}/r.fastq.gz", "-i", f"{tmp_path}/i.fastq.gz", "-H", "-o", f"{tmp_path}/x"], spark)
     short = ["-r", f"{tmp_path}/r.fastq.gz", "-3", "40I", "-u", "-f", "-k", "12", "-o", f"{tmp_path}/s", "--keepQuiet"]
     assert "Rejected reads: 0" in cli.run(short, spark)[1] and "Rejected reads: 6" in cli.run([*short, "--shortRead", "reject"], spark)[1]
 
