@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from readloom.llm.common import stored
 
 #: Rows in a block, and bytes of strings, on average.
-BLOCK_ROWS, BLOCK_BYTES = 16_384, 64 << 20
+BLOCK_ROWS, BLOCK_BYTES = 4_096, 32 << 20
 #: Rows up to which the generator draws a whole vector by itself.
 _VECTOR = 1_000_000_000
 

@@ -101,7 +101,7 @@ def test_large_draws_have_the_laws_moments(good, bad, n):
     assert abs(got.var() - variance) <= 0.2 * variance + 0.02
 
 
-@pytest.mark.parametrize("block", [16_384, 7])
+@pytest.mark.parametrize("block", [sharding.BLOCK_ROWS, 7])
 def test_sharding(spark, block):
     rows = [(i, i % 7, "x") for i in range(500)] + [(1, 1, "x")] * 300 + [(None, None, None)] * 3
     df = spark.createDataFrame(rows, "doc_id long, size long, slot string")
