@@ -2,12 +2,16 @@
 
 import base64
 import hashlib
+import os
 import re
+from collections import Counter
 
 import corpus_pipeline as cp
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import tiktoken
 
 import __spark_entry__
@@ -69,3 +73,15 @@ def test_queries_are_registered():
     assert set(QUERIES) <= set(found) and "pipeline" in found
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in QUERIES}
     assert set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_against_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{SF}/{t}'")
+    want = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert Counter(map(tuple, df.select(*names).collect())) == Counter(want.fetchall())
