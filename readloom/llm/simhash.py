@@ -194,7 +194,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = at[:-1][sizes == m]
             for i in range(0, len(rows), max(1, _PAIRS // (m * m))):
                 part = rows[i : i + max(1, _PAIRS // (m * m))]
-                a, b, _, _ = linked(flat[part[:, None] + np.arange(m)])
+                a, b, _, _ = linked(np.sort(flat[part[:, None] + np.arange(m)], axis=1))  # the smallest is the root, which saves rounds later
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
@@ -235,7 +235,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(_anew(least, "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("v > u").join(_anew(least, "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(_anew(low, "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
