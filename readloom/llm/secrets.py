@@ -25,14 +25,18 @@ from readloom.llm.common import private
 
 KEY = r"[A-Za-z0-9_+/\-]"
 _VALUE = r"[^\s\"'`,;<>]"
-_ASSIGNED = r"(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|api[_-]?key|auth|private[_-]?key|access[_-]?key)[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)"
-#: Alternatives are tried in this order at each place. A value does not end in a full stop or a bracket.
-CANDIDATE = "|".join(
-    [
-        rf"{_ASSIGNED}(?![=:]){_VALUE}{{6,}}(?<![.!?)\]}}:])",
-        rf"(?<!{KEY})(?:A[KS]IA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}|sk-[A-Za-z0-9_\-]{{20,}}|xox[abp]-[A-Za-z0-9\-]{{10,}})(?!{KEY})",
-        rf"(?<!{KEY})(?={KEY}{{16}})(?=[A-Za-z_+/\-]*[0-9]){KEY}{{16,}}+",
-    ]
+_ASSIGNED = r"(?<=[=:\s\"'`])(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:passw(?:or)?d|passphrase|pwd|secret|token|credentials?|api[_-]?key|auth|private[_-]?key|access[_-]?key)[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)"
+#: Alternatives are tried in this order, only where no key character goes before. A value does not end in a full stop or a bracket.
+CANDIDATE = (
+    rf"(?<!{KEY})(?:"
+    + "|".join(
+        [
+            rf"{_ASSIGNED}(?![=:]){_VALUE}{{6,}}(?<![.!?)\]}}:])",
+            rf"(?:A[KS]IA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}|sk-[A-Za-z0-9_\-]{{20,}}|xox[abp]-[A-Za-z0-9\-]{{10,}})(?!{KEY})",
+            rf"(?={KEY}{{16}})(?=[A-Za-z_+/\-]*[0-9]){KEY}{{16,}}+",
+        ]
+    )
+    + ")"
 )
 NEAR = 40
 MASK = "[SECRET]"
