@@ -202,6 +202,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 ORACLE_SQL["op2_quality_rules"] = _op2_sql()
+
+
+def _xxh64_sql(source: str, seed: int) -> str:
+    """Common table expressions that end in ``hashed`` (g, h): XXH64 of the texts ``g`` of ``source``, in 128-bit integers.
+
+    A rotation by r is a product with 2^r modulo 2^64 - 1.
+    """
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    big = lambda n: f"{n}::UHUGEINT"
+    word = big(2**64)
+    mul = lambda a, b: f"(({a}) * {big(b)} % {word})"
+    add = lambda *xs: f"(({' + '.join(xs)}) % {word})"
+    turn = lambda a, r: f"(({a}) * {big(2**r)} % {big(2**64 - 1)})"
+    lane = lambda acc, x: mul(turn(add(acc, mul(x, p2)), 31), p1)
+    eight = lambda h, x: add(mul(turn(f"xor({h}, {lane(big(0), x)})", 27), p1), big(p4))
+    four = lambda h, x: add(mul(turn(f"xor({h}, {mul(x, p1)})", 23), p2), big(p3))
+    byte = lambda h, x: mul(turn(f"xor({h}, {mul(x, p5)})", 11), p1)
+    number = lambda at, n: "CAST('0x' || " + " || ".join(f"substr(x, CAST(2 * ({at}) + {2 * k + 1} AS INT), 2)" for k in reversed(range(n))) + " AS UBIGINT)::UHUGEINT"
+    starts = [(seed + p1 + p2) % 2**64, (seed + p2) % 2**64, seed, (seed - p1) % 2**64]
+    v = ", ".join(f"list_reduce([{big(start)}] || lanes[{j + 1}:stripes * 4:4], lambda a, y: {lane('a', 'y')}) AS v{j}" for j, start in enumerate(starts))
+    met = add(*(turn(f"v{j}", r) for j, r in enumerate((1, 7, 12, 18))))
+    for j in range(4):
+        met = add(mul(f"xor({met}, {lane(big(0), f'v{j}')})", p1), big(p4))
+    return f"""
+h0 AS (SELECT g, hex(encode(g)) AS x, strlen(g) AS n FROM {source}),
+h1 AS (SELECT *, n // 32 AS stripes, list_transform(range(0, n // 8), lambda i: {number('8 * i', 8)}) AS lanes FROM h0),
+h2 AS (SELECT *, {v} FROM h1),
+h3 AS (SELECT *, (CASE WHEN stripes > 0 THEN {met} ELSE {big((seed + p5) % 2**64)} END + n::UHUGEINT) % {word} AS a3 FROM h2),
+h4 AS (SELECT *, list_reduce([a3] || lanes[stripes * 4 + 1:], lambda a, y: {eight('a', 'y')}) AS a4 FROM h3),
+h5 AS (SELECT *, CASE WHEN n % 8 >= 4 THEN {four('a4', number('n // 8 * 8', 4))} ELSE a4 END AS a5 FROM h4),
+h6 AS (SELECT *, list_reduce([a5] || list_transform(range(n - n % 4, n), lambda i: {number('i', 1)}), lambda a, y: {byte('a', 'y')}) AS a6 FROM h5),
+h7 AS (SELECT g, {mul(f'xor(a6, a6 // {big(2**33)})', p2)} AS a7 FROM h6),
+h8 AS (SELECT g, {mul(f'xor(a7, a7 // {big(2**29)})', p3)} AS a8 FROM h7),
+hashed AS (SELECT g, CAST(xor(a8, a8 // {big(2**32)}) AS UBIGINT) AS h FROM h8)"""
+
+
+def _op6_sql() -> str:
+    """Fingerprints by sums of bits, and what can be reached over pairs of at most two differing bits."""
+    sums = ", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(64))
+    bits = " + ".join(f"CASE WHEN 2 * b{b} > n THEN {2**b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_SPACE}]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d)),
+distinct_s AS (SELECT DISTINCT g FROM s),{_xxh64_sql('distinct_s', simhash.SEED)},
+counted AS (SELECT doc_id, count(*) AS n, {sums} FROM s JOIN hashed USING (g) GROUP BY doc_id),
+f AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN (SELECT doc_id, {bits} AS fp FROM counted) USING (doc_id)),
+nodes AS (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+links AS (SELECT a.fp AS a, b.fp AS b FROM nodes a JOIN nodes b ON bit_count(xor(a.fp, b.fp)) <= {simhash.WITHIN}),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS fp, min(least) AS component_id FROM reach JOIN nodes ON nodes.fp = reach.b GROUP BY a)
+SELECT doc_id, lpad(lower(hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN named USING (fp)
+"""
+
+
+ORACLE_SQL["op6_simhash"] = _op6_sql()
 ORACLE_SQL["op7_language_model"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, len(w) AS n, p, w[p] AS a, CASE WHEN p > 1 THEN concat(w[p - 1], ' ', w[p]) END AS b, CASE WHEN p > 2 THEN concat(w[p - 2], ' ', w[p - 1], ' ', w[p]) END AS c

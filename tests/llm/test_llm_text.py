@@ -235,3 +235,11 @@ def test_positions_beyond_32_bits_of_term_and_place(spark, monkeypatch):
     found = decontaminate.find_contamination(df, spark.createDataFrame(items, "item_id long, text string"))
     got = {x["doc_id"]: (x["items"], x["hits"]) for x in found.collect()}
     assert {i: x for i, x in got.items() if x[0]} == {i: ([str(i)], list(range(40, 70))) for i in range(0, 250, 5)}
+
+
+def test_operators_leave_the_session_as_it_is(spark):
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before, catalog = [spark.conf.get(k) for k in keys], {t.name for t in spark.catalog.listTables()}
+    df = spark.createDataFrame([(i, f"some words of text {i}") for i in range(5)], "doc_id long, text string")
+    assert language_model.score(df).count() == quality_rules.quality_rules(df).count() == decontaminate.find_contamination(df, df.withColumnRenamed("doc_id", "item_id")).count() == 5
+    assert [spark.conf.get(k) for k in keys] == before and {t.name for t in spark.catalog.listTables()} == catalog
