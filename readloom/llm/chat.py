@@ -33,8 +33,8 @@ CONTEXT = ("system",)
 END = "<|end|>\n"
 
 
-def numbered_turns(conversations: DataFrame) -> DataFrame:
-    """conv, at (place in the conversation from 0), speaker, text; over a stored table."""
+def numbered_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conv, at (place in the conversation from 0), speaker, text; and conv, turns: both over stored tables."""
     spark = conversations.sparkSession
     safe = lambda c, other: F.replace(F.coalesce(F.col(c).cast("string"), F.lit(other)), F.lit("<|"), F.lit("< |"))
     rows = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), safe("role", "unknown").alias("speaker"), safe("text", "").alias("text"))
@@ -45,8 +45,8 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     # One row for each task: small enough to be broadcast, whatever the input.
     offsets = local.groupBy("task").count().withColumn("offset", F.sum("count").over(Window.orderBy("task")) - F.col("count")).select("task", "offset")
     placed = local.join(F.broadcast(offsets), "task").select("conv", "speaker", "text", (F.col("offset") + F.col("place")).alias("row"))
-    firsts = stored(placed.groupBy("conv").agg(F.min("row").alias("first")), "first-turns")
-    return _join(placed, firsts, "inner").select("conv", (F.col("row") - F.col("first")).alias("at"), "speaker", "text")
+    firsts = stored(placed.groupBy("conv").agg(F.min("row").alias("first"), F.count("*").alias("turns")), "first-turns")
+    return _join(placed, firsts, "inner").select("conv", (F.col("row") - F.col("first")).alias("at"), "speaker", "text"), firsts.select("conv", "turns")
 
 
 def _join(left: DataFrame, right: DataFrame, how: str, *more: str) -> DataFrame:
@@ -60,9 +60,9 @@ def _join(left: DataFrame, right: DataFrame, how: str, *more: str) -> DataFrame:
 
 
 def _in_force(placed: DataFrame, turns: int, is_context: Column) -> DataFrame:
-    """conv, part, force (speaker, text): the last context turn before each later part, for conversations of several parts only."""
+    """conv, part, force (speaker, text): the last context turn before each later part."""
     later = placed.where((F.col("at") >= turns) & (F.col("at") % turns == 0)).select("conv", F.expr(f"at div {turns}").alias("part"))
-    given = _join(placed.where(is_context), later.select("conv").distinct(), "left_semi").groupBy("conv", F.expr(f"at div {turns}").alias("part")).agg(F.max_by(F.struct("speaker", "text"), "at").alias("said"))
+    given = placed.where(is_context).groupBy("conv", F.expr(f"at div {turns}").alias("part")).agg(F.max_by(F.struct("speaker", "text"), "at").alias("said"))
     both = later.withColumn("said", F.lit(None).cast(given.schema["said"].dataType)).withColumn("ask", F.lit(True)).unionByName(given.withColumn("ask", F.lit(False)))
     before = Window.partitionBy("conv").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
     return both.withColumn("force", F.last("said", ignorenulls=True).over(before)).where("ask").select("conv", "part", "force")
@@ -70,10 +70,14 @@ def _in_force(placed: DataFrame, turns: int, is_context: Column) -> DataFrame:
 
 def rotate(conversations: DataFrame, turns: int = TURNS, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """conv_id, speaker, part, n_turns, n_own, rendered, mask (array of start and end in ``rendered``)."""
-    placed = numbered_turns(conversations)
+    placed, lengths = numbered_turns(conversations)
     is_context = F.col("speaker").isin(*context)
     parts = placed.groupBy("conv", F.expr(f"at div {turns}").alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "speaker", "text"))).alias("said"))
-    parts = _join(parts, _in_force(placed, turns, is_context), "left", "part")
+    several = lengths.where(F.col("turns") > turns)
+    if several.isEmpty():
+        parts = parts.withColumn("force", F.lit(None).cast("struct<speaker:string,text:string>"))
+    else:
+        parts = _join(parts, _in_force(_join(placed, several, "left_semi"), turns, is_context), "left", "part")
     people = placed.where(~is_context).select("conv", F.col("speaker").alias("me")).distinct()
     both = _join(parts, people, "left")
     mine = lambda x: F.coalesce(x["speaker"] == F.col("me"), F.lit(False))
