@@ -30,11 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies: five-word similarity of 0.8 or more, not op6's two bits."""
+    """Keeps the document with the smallest id of each group of near copies.
+
+    SimHash fingerprints link within two bits, which pivot distance tables find, as in op6. Edited
+    copies are further apart, so texts that are not connected by then are linked at a five-word
+    similarity of 0.8 or more.
+    """
     session(spark)
     docs = docs.select(*COLUMNS)
     named = similar.named_sets(docs)
-    return simhash.keep_one(docs, named, similar.links(docs, named)).select(*COLUMNS)
+    near = simhash.links(stored(named.select("fp").distinct(), "pipeline-fingerprints"))
+    return simhash.keep_one(docs, named, similar.links(docs, named, near)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ MOST_PAIRED = 32
 MOST_BROADCAST = 200_000
 #: Pairs of one cell, or of cells of one size, whose tables are compared at once.
 _PAIRS = 1 << 18
-_SLICE = 1 << 18
+_SLICE = 1 << 15
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:

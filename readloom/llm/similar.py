@@ -6,14 +6,16 @@ with less. What is found is exact: a parity sketch, whose differing bits can be
 than the differing shingles, discards most pairs, and the others are verified on their
 whole sets.
 
-Pairs are made in two steps, so that a large group of near copies is not paired with
-itself: first every set is held against one set of each of its bands only, that with the
-most exact copies, then pairs of a band that are not connected by then and pass the
-sketch. All others are connected anyway.
+This goes on from SimHash: links hold between fingerprints, and only sets whose fingerprints
+are not connected yet are compared. Pairs are made in two steps, so that a large group of near
+copies is not paired with itself: first every set is held against one set of each of its bands
+only, that with the most exact copies, then pairs of a band that are not connected by then and
+pass the sketch. All others are connected anyway.
 
 Words are runs of non-space, A-Z lower-cased; a text of fewer words is one shingle. Texts
 without words, null texts among them, have the empty set and are alike. Shingles are
-64-bit hashes. Equal sets are one node, named by a hash of the set.
+64-bit hashes. Equal sets are one node, named by a hash of the set; they are linked also where
+their fingerprints are far apart, because one text repeats what the other says once.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.llm import simhash
 from readloom.llm.common import sliced, stored
-from readloom.llm.simhash import components, numbered, same_row
+from readloom.llm.simhash import fingerprints, numbered, same_row
 from readloom.llm.words import LOWER, NOT_SPACE, mix, split
 
 SHINGLE = 5
@@ -88,16 +91,16 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def named_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A stored table: row (``simhash.numbered``), key (a hash of the text), the id, fp (the name of the row's set), n (its size), bands and sketch."""
+    """A stored table: row (``simhash.numbered``), key (a hash of the text), the id, fp (the SimHash fingerprint), node (the name of the row's set), n (its size), bands and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "body"):
             sets, longs = shingle_sets(batch.column("body")), pa.list_(pa.int64())
-            made = [pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], longs), pa.array([sketch(s) for s in sets], longs)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), batch.column("id"), *made], ["row", "key", "id", "fp", "n", "bands", "sketch"])
+            made = [pa.array(fingerprints(batch.column("body"))), pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], longs), pa.array([sketch(s) for s in sets], longs)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), batch.column("id"), *made], ["row", "key", "id", "fp", "node", "n", "bands", "sketch"])
 
     longs = T.ArrayType(T.LongType())
-    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", longs), T.StructField("sketch", longs)])
+    kind = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", longs), T.StructField("sketch", longs)])
     rows = numbered(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))).withColumn("key", F.xxhash64("body"))
     return stored(rows.mapInArrow(run, kind).withColumnRenamed("id", doc_id), "similar-rows")
 
@@ -110,7 +113,7 @@ def _may_be_similar(x: str, y: str) -> Column:
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar. A set is made anew from one text that has it."""
+    """(root_a, root_b) of those pairs of sets (a, b) that are similar as a whole. A set is made anew from one text that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "body"):
@@ -122,26 +125,34 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
     sets = stored(found.select("node", "body").mapInArrow(run, "node long, s array<long>"), "similar-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
     met = F.size(F.array_intersect("s_a", "s_b"))
-    return stored(both.where(met * (LEAST + OF) >= LEAST * (F.size("s_a") + F.size("s_b"))).select("a", "b"), "similar-links")
+    return stored(both.where(met * (LEAST + OF) >= LEAST * (F.size("s_a") + F.size("s_b"))).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "similar-links")
 
 
-def links(docs: DataFrame, named: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs (a, b) of ``fp`` that connect all similar sets of ``docs``; ``named`` is its ``named_sets``."""
+def links(docs: DataFrame, named: DataFrame, near: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """Pairs (a, b) of ``fp`` that connect all similar sets of ``docs`` and all fingerprints within two bits.
+
+    ``named`` is the ``named_sets`` of ``docs``; ``near`` the ``simhash.links`` of its fingerprints, made here if not given.
+    """
+    near = simhash.links(stored(named.select("fp").distinct(), "similar-fingerprints")) if near is None else near
     firsts = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]  # of equal sets all are the same
-    nodes = stored(named.groupBy(F.col("fp").alias("node")).agg(F.min("row").alias("row"), F.min_by("key", "row").alias("key"), F.count("*").alias("copies"), *firsts), "similar-nodes")
+    nodes = stored(named.groupBy("node").agg(F.min("row").alias("row"), F.min_by("key", "row").alias("key"), F.min("fp").alias("fp"), F.max("fp").alias("high"), F.count("*").alias("copies"), *firsts), "similar-nodes")
+    equal = named.select("node", F.col("fp").alias("a")).join(nodes.where("fp <> high").select("node", F.col("fp").alias("b")), "node").where("a <> b").select("a", "b").distinct()
     by = Window.partitionBy("g")
     # Rows are shorter names than hashes. Most bands are of one set only. Stored, so that adaptive execution may split a hot key of a join.
     keyed = nodes.select("row", "copies", F.explode("bands").alias("g")).withColumn("lead", F.max(F.struct("copies", "row")).over(by)["row"]).withColumn("sets", F.count("*").over(by))
     keyed = stored(keyed.where("sets > 1 AND lead <> row").select("g", "row", "lead"), "similar-keys")
-    sets = nodes.select("row", F.struct("row", "n", "sketch", "node").alias("set"))
-    names = [F.col(f"{s}.node").alias(c) for s, c in (("x", "a"), ("y", "b"))]
-
-    first = keyed.select("row", "lead").distinct().join(sets.withColumnRenamed("set", "x"), "row").join(sets.select(F.col("row").alias("lead"), F.col("set").alias("y")), "lead")
-    first = _similar(stored(first.where(_may_be_similar("x", "y")).select(*names), "similar-pairs"), nodes, docs, text)
-    roots = nodes.select("node", "row").join(components(first), "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+    sets = nodes.select("row", F.col("fp").alias("root"), F.struct("row", "n", "sketch", "node").alias("set"))
+    x, y = (sets.select(F.col("row").alias(at), F.col("root").alias(f"root_{s}"), F.col("set").alias(s)) for s, at in (("x", "row"), ("y", "lead")))
+    names = [F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("root_x").alias("root_a"), F.col("root_y").alias("root_b")]
+
+    first = keyed.select("row", "lead").distinct().join(x, "row").join(y, "lead").where(F.expr(f"bit_count(root_x ^ root_y) > {simhash.WITHIN}") & _may_be_similar("x", "y"))
+    first = _similar(stored(first.select(*names), "similar-pairs"), nodes, docs, text)
+    found = simhash.components(near.select("a", "b").unionByName(equal).unionByName(first))
+    roots = nodes.select("row", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
     rest = stored(keyed.select("g", "row").join(roots, "row"), "similar-rest")
     mixed = rest.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-    rest = stored(rest.join(mixed, "g", "left_semi").join(sets, "row").select("g", "root", "set"), "similar-rest")
+    rest = stored(rest.join(mixed, "g", "left_semi").join(sets.select("row", "set"), "row").select("g", "root", "set"), "similar-rest")
     x, y = (rest.select("g", F.col("root").alias(f"root_{s}"), F.col("set").alias(s)) for s in "xy")
     pairs = x.join(y, (x["g"] == y["g"]) & F.expr("x.row < y.row AND root_x <> root_y") & _may_be_similar("x", "y")).select(*names).distinct()
-    return first.unionByName(_similar(stored(pairs, "similar-pairs"), nodes, docs, text))
+    rest = _similar(stored(pairs, "similar-pairs"), nodes, docs, text)
+    return found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from readloom.llm import similar, simhash
+from tests.llm.test_llm_structure import plain_fingerprint
 
 
 def shingles(text):
@@ -117,3 +118,33 @@ def test_bands_find_pairs_at_the_limit():
         assert not (similar.bands(a) == similar.bands(r.integers(-(2**62), 2**62, 90))).any()
     assert missed == 0
     assert (similar.bands(a, most=7) == similar.bands(a)).all() and len(similar.bands(a[:0])) == similar.BANDS
+
+
+def test_stage_links_by_fingerprints_and_by_words(spark, tmp_path):
+    """Groups are what two bits of SimHash and five-word similarity connect together, each of them needed."""
+    r = random.Random(12)
+    rows, seen = [], set()
+    for k in range(9):
+        often = [f"o{k}x{i}" for i in range(7)] * 20
+        for n in (0, 60, 80, 100, 130):  # few other bits, quite other sets
+            rows.append(" ".join([*often, *(f"t{r.randrange(10**6)}" for _ in range(n))]))
+    body = [f"b{i}" for i in range(120)]
+    rows += [" ".join([f"c{i}" for i in range(7)] * n + body) for n in (2, 60)]  # equal sets, other bits
+    rows += [" ".join([*body[:k], "other", *body[k + 1 :]]) for k in (30, 70)]
+    rows = list(zip(r.sample(range(1000), len(rows)), rows, strict=True))
+    fps, sets = [plain_fingerprint(t) for _, t in rows], [shingles(t) for _, t in rows]
+
+    def left(bits, words):
+        root = list(range(len(rows)))
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            near, alike = (fps[i] ^ fps[j]).bit_count() <= 2, 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+            seen.add((fps[i] ^ fps[j]).bit_count() if not alike else -1)
+            if (bits and near) or (words and alike):
+                a, b = root[i], root[j]
+                root = [a if x == b else x for x in root]
+        return sorted(min(rows[k][0] for k in range(len(rows)) if root[k] == x) for x in set(root))
+
+    want = left(True, True)
+    assert {0, 1, 2, 3, -1} <= seen and len({len(want), len(left(True, False)), len(left(False, True))}) == 3
+    got = sorted(x["doc_id"] for x in cp.near_duplicates(spark, stored(spark, tmp_path, rows), "").collect())
+    assert got == want
